@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pointspan.llm.mixing import mixing
 from pointspan.llm.quality_rules import quality_rules
 from pointspan.llm.sharding import sharding
+from pointspan.llm.simhash import simhash
 from pointspan.shared import table
 
 
@@ -20,6 +21,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -27,6 +32,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op4_sharding": op4_sharding,
+    "op8_simhash": op8_simhash,
     "op9_quality_rules": op9_quality_rules,
 }
 
