@@ -10,6 +10,7 @@ from pointspan.llm.mixing import mixing
 from pointspan.llm.quality_rules import quality_rules
 from pointspan.llm.sharding import sharding
 from pointspan.llm.simhash import simhash
+from pointspan.llm.toxicity import toxicity
 from pointspan.shared import table
 
 
@@ -21,6 +22,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash(table(spark, sf_dir, "documents"))
 
@@ -33,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op4_sharding": op4_sharding,
     "op8_simhash": op8_simhash,
+    "op7_toxicity": op7_toxicity,
     "op9_quality_rules": op9_quality_rules,
 }
 
