@@ -11,6 +11,7 @@ from pointspan.llm.quality_rules import quality_rules
 from pointspan.llm.sharding import sharding
 from pointspan.llm.simhash import simhash
 from pointspan.llm.toxicity import toxicity
+from pointspan.llm.warc import warc
 from pointspan.shared import table
 
 
@@ -22,6 +23,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc(table(spark, sf_dir, "pages"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,8 +43,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op4_sharding": op4_sharding,
     "op8_simhash": op8_simhash,
+    "op5_warc": op5_warc,
     "op7_toxicity": op7_toxicity,
     "op9_quality_rules": op9_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_warc": """
+        WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT payload_digest, min(page_id) AS head FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+        SELECT p.page_id, p.payload_bytes, p.payload_digest,
+               CASE WHEN f.head < p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN f.head < p.page_id THEN f.head END AS refers_to
+        FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
+    """,
+}
