@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pointspan.llm.mixing import mixing
 from pointspan.llm.quality_rules import quality_rules
+from pointspan.llm.sentencepiece_codec import sentencepiece
 from pointspan.llm.sharding import sharding
 from pointspan.llm.simhash import simhash
 from pointspan.llm.toxicity import toxicity
@@ -15,6 +16,10 @@ from pointspan.llm.warc import warc
 from pointspan.shared import table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing(table(spark, sf_dir, "documents"))
 
@@ -40,6 +45,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_mixing": op2_mixing,
     "op4_sharding": op4_sharding,
     "op8_simhash": op8_simhash,
