@@ -73,17 +73,17 @@ def repeat_words(words: Column) -> Column:
     return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), zero).otherwise(cover(positions(h))))
 
 
-def base_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
+def base_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
     """Counts over the whole text of every row; one narrow pass."""
     raw = F.coalesce(F.col(text), F.lit(""))
     kept = lambda pattern: F.length(F.regexp_replace("_text", pattern, "")).cast("long")
     lines = F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return (
-        docs.select(F.col(key).cast("long").alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), raw.alias("_text"))
+        docs.select(F.col(key).cast("long").alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), raw.alias("_text"), *keep)
         .withColumn("_words", F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)))
         .withColumn("_lines", lines)
         .select(
-            "doc_id", "stratum",
+            "doc_id", "stratum", *keep,
             F.size("_words").cast("long").alias("n_words"),
             F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
             kept(r"[^#*$%&|<>]+").alias("n_symbols"),
@@ -149,18 +149,36 @@ def choose_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DEL
     return names, passed.groupBy("key").agg(*[value(name, top) for name, _, top in RULES])
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, stratum: str = "lang") -> DataFrame:
-    """The base counts, ``base_failed`` and ``kept`` of every row of ``docs``.
-
-    The counts are made in one pass over the texts and written to the shared
-    folder; choosing the cutoffs and applying them read only that narrow table.
-    """
+def cutoffs_for(docs: DataFrame, labels: DataFrame, alpha: float, delta: float, stratum: str) -> tuple[DataFrame, list[str], DataFrame]:
+    """The counts of all rows, written to the shared folder, the strata and their cutoffs."""
     counts = materialize(base_counts(docs, stratum=stratum), "quality")
     good = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") >= 1).alias("good"))
     names, chosen = choose_cutoffs(counts.join(good, "doc_id"), alpha, delta)
-    chosen = materialize(chosen, "cutoffs")  # at most MAX_STRATA + 1 rows
+    return counts, names, materialize(chosen, "cutoffs")  # at most MAX_STRATA + 1 rows
+
+
+def judged(counts: DataFrame, names: list[str], chosen: DataFrame) -> DataFrame:
+    """``counts`` with ``kept``."""
     joined = counts.withColumn("key", stratum_key(names)).join(F.broadcast(chosen), "key", "left")
     verdict = ~F.col("base_failed")
     for name, expr, _ in RULES:
         verdict = verdict & F.coalesce(feature(expr) < F.col(name), F.lit(True))
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", verdict.alias("kept"))
+    return joined.withColumn("kept", verdict).select(*counts.columns, "kept")
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, stratum: str = "lang") -> DataFrame:
+    """The base counts, ``base_failed`` and ``kept`` of every row of ``docs``.
+
+    The counts are made in one pass over the texts; choosing the cutoffs and
+    applying them read only their narrow table.
+    """
+    counts, names, chosen = cutoffs_for(docs, labels, alpha, delta, stratum)
+    return judged(counts, names, chosen).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, stratum: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that the rules keep; the texts are counted again rather than shuffled."""
+    _, names, chosen = cutoffs_for(docs, labels, alpha, delta, stratum)
+    whole = docs.select(F.col("doc_id").alias("_id"), F.struct(*docs.columns).alias("_row"), F.col("text").alias("_raw"), F.col(stratum).alias("_stratum"))
+    counts = base_counts(whole, key="_id", text="_raw", stratum="_stratum", keep=("_row",))
+    return judged(counts, names, chosen).filter("kept").select("_row.*")

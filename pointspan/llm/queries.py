@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pointspan.llm.ann_forest import ann_forest
 from pointspan.llm.mixing import mixing
 from pointspan.llm.quality_rules import quality_rules
 from pointspan.llm.sentencepiece_codec import sentencepiece
 from pointspan.llm.sharding import sharding
 from pointspan.llm.simhash import simhash
 from pointspan.llm.toxicity import toxicity
+from pointspan.llm.url_filter import page_labels, url_filter
 from pointspan.llm.warc import warc
 from pointspan.shared import table
 
@@ -24,6 +26,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing(table(spark, sf_dir, "documents"))
 
 
+def op3_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_forest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding(table(spark, sf_dir, "documents"))
 
@@ -32,6 +38,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc(table(spark, sf_dir, "pages"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter(pages, page_labels(pages, table(spark, sf_dir, "labels")))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,9 +58,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_mixing": op2_mixing,
+    "op3_ann_forest": op3_ann_forest,
     "op4_sharding": op4_sharding,
     "op8_simhash": op8_simhash,
     "op5_warc": op5_warc,
+    "op6_url_filter": op6_url_filter,
     "op7_toxicity": op7_toxicity,
     "op9_quality_rules": op9_quality_rules,
 }

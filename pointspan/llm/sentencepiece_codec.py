@@ -196,8 +196,9 @@ class Codec:
         for words in split:
             yield list(chain.from_iterable(map(self.known.__getitem__, words)))
         room = MEMO - (len(self.known) - len(new))
-        for word in new[max(0, room) :]:
-            del self.known[word]
+        for i, word in enumerate(new):
+            if i >= room or len(word) > 256:
+                del self.known[word]
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")

@@ -200,18 +200,39 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], np.ndarray, fl
     return names, weights, base
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per row ``doc_id, held_out, score, predicted``."""
+def scorer(docs: DataFrame, labels: DataFrame):
+    """A function from a column of texts to their scores, fitted on labelled rows of ``docs``."""
     names, weights, base = fit(docs, labels)
     find = found_terms(names)
 
+    def score(texts: pa.Array) -> np.ndarray:
+        odds = np.full(len(texts), base)
+        for i, text in enumerate(texts):
+            if hits := find(text.as_py()):
+                odds[i] += weights[hits].sum() + weights[-1] * np.log1p(len(hits))
+        return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+
+    return score
+
+
+def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Per row ``doc_id, held_out, score, predicted``."""
+    score = scorer(docs, labels)
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            odds = np.full(batch.num_rows, base)
-            for i, text in enumerate(batch.column(1)):
-                if hits := find(text.as_py()):
-                    odds[i] += weights[hits].sum() + weights[-1] * np.log1p(len(hits))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(odds, -500, 500))))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(batch.column(1)))], ["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that aren't predicted to be toxic; each text goes through Python once and isn't shuffled."""
+    score, at = scorer(docs, labels), docs.columns.index("text")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(score(batch.column(at)) < 0.5))
+
+    return docs.mapInArrow(each, docs.schema)
