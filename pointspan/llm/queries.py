@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pointspan.llm.ann_forest import ann_forest
+from pointspan.llm.maxent_lm import maxent_lm
 from pointspan.llm.mixing import mixing
 from pointspan.llm.quality_rules import quality_rules
 from pointspan.llm.sentencepiece_codec import sentencepiece
@@ -55,6 +56,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_mixing": op2_mixing,
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filter": op6_url_filter,
     "op7_toxicity": op7_toxicity,
     "op9_quality_rules": op9_quality_rules,
+    "op10_maxent_lm": op10_maxent_lm,
 }
 
 ORACLE_SQL: dict[str, str] = {
