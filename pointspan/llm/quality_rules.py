@@ -181,4 +181,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: f
     _, names, chosen = cutoffs_for(docs, labels, alpha, delta, stratum)
     whole = docs.select(F.col("doc_id").alias("_id"), F.struct(*docs.columns).alias("_row"), F.col("text").alias("_raw"), F.col(stratum).alias("_stratum"))
     counts = base_counts(whole, key="_id", text="_raw", stratum="_stratum", keep=("_row",))
-    return judged(counts, names, chosen).filter("kept").select("_row.*")
+    # A generator of one row: the filter can't be pushed below it, where each count would be made anew for each rule.
+    once = counts.select(F.explode(F.array(F.struct(*counts.columns))).alias("_x")).select("_x.*")
+    return judged(once, names, chosen).filter("kept").select("_row.*")
