@@ -19,7 +19,8 @@ chance is its smoothed count, (c + 0.5) / (N_t + 0.5 (V_t + 1)).
 Training.  In each of ``ROUNDS`` rounds, every task starts from the same
 weights, makes gradient steps (AdaGrad, on every ``STRIDE``-th position) over
 its training documents of the round, and returns its change; changes are
-added up block by block as they arrive, weighted by positions.  Each training
+added up block by block, by teams of ``TEAM`` tasks and teams of those, each as
+they arrive and weighted by positions.  Each training
 document takes part in one round.  The model has a fixed size, whatever the
 input.  Scoring reads weights by numpy over batches of documents.
 
@@ -47,7 +48,7 @@ CLASSES = (WORDS + 1) // WIDE + TAILS
 CONTEXTS = 1 + WORDS + 1 + TAILS
 PAIRS, HASHED = 4096, 8192
 ROUNDS, STRIDE, STEP, RATE = 3, 4, 2048, 0.15
-BLOCKS, CHUNK, FLUSH = 32, 1 << 15, 400_000
+BLOCKS, TEAM, CHUNK, FLUSH = 32, 64, 1 << 15, 400_000
 FOLDS, HELD = 5, 1
 END = 1
 #: Sizes of the weights: class bias, before, skip, pair; word bias, before, skip.
@@ -163,6 +164,8 @@ def train_round(train: DataFrame, names: list[bytes], weights: np.ndarray, turn:
     size = -(-TOTAL // BLOCKS)
 
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         codes, own = Codes(names), weights.copy()
         w, past = views(own), views(np.zeros(TOTAL, dtype=np.float32))
         waiting: list[tuple] = []
@@ -191,25 +194,32 @@ def train_round(train: DataFrame, names: list[bytes], weights: np.ndarray, turn:
             step()
             seen += held
         if seen:
-            change = (own - weights).astype(np.float16)
+            change, team = (own - weights).astype(np.float16), TaskContext.get().partitionId() // TEAM
             for i in range(BLOCKS):
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([seen], pa.int64()), pa.array([change[i * size : (i + 1) * size].tobytes()], pa.binary())], ["block", "n", "change"])
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([team], pa.int32()), pa.array([seen], pa.int64()), pa.array([change[i * size : (i + 1) * size].tobytes()], pa.binary())], ["block", "team", "n", "change"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, list] = {}
+        """The mean change of each block and team, adding them up as they arrive."""
+        sums: dict[tuple, list] = {}
         for batch in batches:
-            for block, n, change in zip(*batch.to_pydict().values(), strict=True):
-                at = sums.setdefault(block, [0, 0.0])
+            for block, team, n, change in zip(*batch.to_pydict().values(), strict=True):
+                at = sums.setdefault((block, team), [0, 0.0])
                 at[0], at[1] = at[0] + n, at[1] + n * np.frombuffer(change, dtype=np.float16).astype(np.float64)
-        for block, (n, total) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], ["block", "n", "change"])
+        for (block, team), (n, total) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([team // TEAM], pa.int32()), pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float16).tobytes()], pa.binary())], ["block", "team", "n", "change"])
 
-    schema = "block int, n long, change binary"
+    schema = "block int, team int, n long, change binary"
     mine = train.filter(F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(ROUNDS)) == turn).select("text")
-    summed = mine.mapInArrow(steps, schema).repartition(BLOCKS, "block").mapInArrow(add, schema)
+    summed, teams = mine.mapInArrow(steps, schema), -(-mine.rdd.getNumPartitions() // TEAM)
+    # A task adds up the blocks of a team of tasks, then of a team of teams, until there is one.
+    while True:
+        summed = summed.repartition(BLOCKS * teams, "block", "team").mapInArrow(add, schema)
+        if teams == 1:
+            break
+        teams = -(-teams // TEAM)
     out = weights.copy()
     for r in summed.collect():  # the model's BLOCKS blocks
-        out[r["block"] * size : (r["block"] + 1) * size] += np.frombuffer(r["change"], dtype=np.float32)
+        out[r["block"] * size : (r["block"] + 1) * size] += np.frombuffer(r["change"], dtype=np.float16)
     return out
 
 

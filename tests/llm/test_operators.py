@@ -309,6 +309,15 @@ def test_language_model_learns_order(spark):
     assert found and all(r.score > r.base_score * 0.9 for r in found)
 
 
+def test_changes_are_added_by_teams(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "alpha beta " * 200) for i in range(60)], "doc_id long, text string").repartition(6)
+    names, start = [b"alpha", b"beta"], maxent_lm.start_weights(np.array([60.0, 9000.0, 9000.0]), np.zeros(maxent_lm.TAILS))
+    whole = maxent_lm.train_round(rows, names, start, 0)
+    monkeypatch.setattr(maxent_lm, "TEAM", 2)
+    assert np.abs(whole - start).max() > 0.05
+    assert np.allclose(maxent_lm.train_round(rows, names, start, 0), whole, atol=2e-3)
+
+
 def test_rare_tokens_are_joined(spark, monkeypatch, docs):
     whole = sorted((r.doc_id, r.n_known, round(r.base_score, 6)) for r in maxent_lm.maxent_lm(docs.filter("doc_id IS NOT NULL")).collect())
     monkeypatch.setattr(maxent_lm, "FREQUENT", 5)
