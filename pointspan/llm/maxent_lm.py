@@ -17,8 +17,8 @@ the skip, each with the class, for the word.  Within a tail class a token's
 chance is its smoothed count, (c + 0.5) / (N_t + 0.5 (V_t + 1)).
 
 Training.  In each of ``ROUNDS`` rounds, every task starts from the same
-weights, makes gradient steps (AdaGrad, on every ``STRIDE``-th position) over
-its training documents of the round, and returns its change; changes are
+weights, makes gradient steps (AdaGrad, on every position) over its training
+documents of the round, and returns its change; changes are
 added up block by block, by teams of ``TEAM`` tasks and teams of those, each as
 they arrive and weighted by positions.  Each training
 document takes part in one round.  The model has a fixed size, whatever the
@@ -47,7 +47,7 @@ FREQUENT, WORDS, WIDE, TAILS = 1 << 17, 1023, 32, 8
 CLASSES = (WORDS + 1) // WIDE + TAILS
 CONTEXTS = 1 + WORDS + 1 + TAILS
 PAIRS, HASHED = 4096, 8192
-ROUNDS, STRIDE, STEP, RATE = 3, 4, 2048, 0.15
+ROUNDS, STEP, RATE = 3, 2048, 0.15
 BLOCKS, TEAM, CHUNK, FLUSH = 32, 64, 1 << 15, 400_000
 FOLDS, HELD = 5, 1
 END = 1
@@ -184,9 +184,8 @@ def train_round(train: DataFrame, names: list[bytes], weights: np.ndarray, turn:
         for batch in batches:
             for text in batch.column(0):
                 found = codes.positions(codes.of(words(text.as_py())))
-                part = tuple(x[(seen + held) % STRIDE :: STRIDE] for x in found)
-                waiting.append(part)
-                held += len(part[0])
+                waiting.append(found)
+                held += len(found[0])
                 if held >= 8 * STEP:
                     step()
                     seen, held, waiting = seen + held, 0, []

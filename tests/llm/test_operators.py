@@ -318,6 +318,16 @@ def test_changes_are_added_by_teams(spark, monkeypatch):
     assert np.allclose(maxent_lm.train_round(rows, names, start, 0), whole, atol=2e-3)
 
 
+def test_every_position_teaches(spark):
+    # The end follows beta at the fourth position only, so only that one teaches what comes after beta.
+    rows = spark.createDataFrame([(i, "alpha alpha beta") for i in range(40)], "doc_id long, text string").coalesce(1)
+    names, start = [b"alpha", b"beta"], maxent_lm.start_weights(np.array([40.0, 80.0, 40.0]), np.zeros(maxent_lm.TAILS))
+    after = maxent_lm.Codes(names).positions(maxent_lm.Codes(names).of([b"alpha", b"alpha", b"beta"]))[0][3]
+    one = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(maxent_lm.ROUNDS)) == 0).limit(1)
+    change = maxent_lm.train_round(one, names, start, 0) - start
+    assert np.abs(maxent_lm.views(change)[1][after]).max() > 0
+
+
 def test_rare_tokens_are_joined(spark, monkeypatch, docs):
     whole = sorted((r.doc_id, r.n_known, round(r.base_score, 6)) for r in maxent_lm.maxent_lm(docs.filter("doc_id IS NOT NULL")).collect())
     monkeypatch.setattr(maxent_lm, "FREQUENT", 5)
