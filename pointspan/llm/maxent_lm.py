@@ -6,23 +6,28 @@ their number is fixed; other tokens of a document meet their counts in a join
 by token, where no token is frequent, so none is hot.
 
 Model.  The ``WORDS`` commonest words and the end are split into classes of
-``WIDE`` by rank; all other tokens fall into ``TAILS`` classes by their first
-byte.  With the two tokens before as context,
+``WIDE`` by rank; all other tokens fall into ``TAILS`` classes, and below them
+into the leaves of a binary tree, by their hash.  With the two tokens before as
+context,
 
     P(token) = P(class | context) * P(word | class, context)
+    P(token) = P(class | context) * P(leaf | class, context) * P(token | leaf)
 
-are softmaxes over sums of hashed features' weights: the token before, the one
-before that (a skip), and both together for the class; the token before and
-the skip, each with the class, for the word.  Within a tail class a token's
-chance is its smoothed count, (c + 0.5) / (N_t + 0.5 (V_t + 1)).
+the first two factors are softmaxes (in the tree, one yes or no at each node)
+over sums of hashed features' weights: the token before, the one before that (a
+skip), and both together.  Features are hashed from the tokens themselves,
+whatever their rank.  The nodes start at the counts' odds.  Leaves and rows of
+features grow with the square root of the vocabulary (``Size``), so that a task
+can hold the model; of tokens that meet in a leaf each has its smoothed share of
+the leaf's count, (c + 0.5) / (N + 0.5 (V + 1)), in every context.
 
 Training.  In each of ``ROUNDS`` rounds, every task starts from the same
 weights, makes gradient steps (AdaGrad, on every position) over its training
 documents of the round, and returns its change; changes are
 added up block by block, by teams of ``TEAM`` tasks and teams of those, each as
 they arrive and weighted by positions.  Each training
-document takes part in one round.  The model has a fixed size, whatever the
-input.  Scoring reads weights by numpy over batches of documents.
+document takes part in one round.  Scoring reads weights by numpy over batches
+of documents.
 
 Defined results: a null or empty text is the end alone; without training rows
 all counts are 0 (``train_tokens`` 0) and the model is even; repeated ids are
@@ -34,6 +39,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -44,16 +50,31 @@ from pointspan.llm.simhash import words
 from pointspan.shared import materialize
 
 FREQUENT, WORDS, WIDE, TAILS = 1 << 17, 1023, 32, 8
+TAIL_BITS = TAILS.bit_length() - 1
 CLASSES = (WORDS + 1) // WIDE + TAILS
-CONTEXTS = 1 + WORDS + 1 + TAILS
+CONTEXTS = 1 + WORDS + 1
 PAIRS, HASHED = 4096, 8192
 ROUNDS, STEP, RATE = 3, 2048, 0.15
 BLOCKS, TEAM, CHUNK, FLUSH = 32, 64, 1 << 15, 400_000
 FOLDS, HELD = 5, 1
 END = 1
-#: Sizes of the weights: class bias, before, skip, pair; word bias, before, skip.
-SHAPES = ((1, CLASSES), (CONTEXTS, CLASSES), (CONTEXTS, CLASSES), (PAIRS, CLASSES), ((WORDS + 1) // WIDE, WIDE), (HASHED, WIDE), (HASHED, WIDE))
-TOTAL = sum(a * b for a, b in SHAPES)
+
+
+class Size:
+    """The model's size for a vocabulary: the bits of a leaf, and the shapes of the weights.
+
+    Shapes: class bias, before, skip, pair; word bias, before, skip; the tree's features.
+    """
+
+    def __init__(self, vocabulary: int = 0):
+        root = max(vocabulary, 1) ** 0.5
+        power = lambda x: 1 << max(int(np.ceil(np.log2(x))), 0)
+        self.bits = max(power(256 * root).bit_length() - 1, 10)
+        self.rows = max(power(4 * root), 1024)
+        pairs, hashed = max(PAIRS, self.rows), max(HASHED, self.rows)
+        contexts = CONTEXTS + self.rows
+        self.shapes = ((1, CLASSES), (contexts, CLASSES), (contexts, CLASSES), (pairs, CLASSES), ((WORDS + 1) // WIDE, WIDE), (hashed, WIDE), (hashed, WIDE), (1, 1 << self.bits))
+        self.total = sum(a * b for a, b in self.shapes)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -83,46 +104,69 @@ def count_tokens(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(each, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def tail_table() -> np.ndarray:
-    """The tail class of each first byte."""
-    return (np.arange(256) * 5 % 11 % TAILS).astype(np.int64)
+def mix(size: int, a: np.ndarray, b: np.ndarray, c: np.ndarray | int = 0) -> np.ndarray:
+    """A hash of three numbers, under ``size`` (a power of 2)."""
+    own = np.multiply(a, 0x1E3779B97F4A7C15) + np.multiply(b, 0x42B2AE3D27D4EB4F) + np.multiply(c, 0x165667B19E3779F9)
+    own = (own ^ (own >> 29)) * 0x3F58476D1CE4E5B9
+    return (own >> 24) & (size - 1)
 
 
 class Codes:
-    """Tokens as numbers: 1 is the end, 2 to WORDS + 1 are words, and above are first bytes of other tokens."""
+    """Tokens as numbers: 0 is none, 1 is the end, 2 to WORDS + 1 are words, and above are hashes of other tokens."""
 
     def __init__(self, names: list[bytes]):
         self.place = {w: i + 2 for i, w in enumerate(names)}
-        tails = tail_table()
-        self.context = np.concatenate([np.arange(WORDS + 2), WORDS + 2 + tails])
-        lm = np.arange(WORDS + 2)
-        self.klass = np.concatenate([np.maximum(lm - 1, 0) // WIDE, CLASSES - TAILS + tails])
-        self.slot = np.concatenate([np.maximum(lm - 1, 0) % WIDE, np.zeros(256, dtype=np.int64)])
 
     def of(self, tokens: list[bytes]) -> np.ndarray:
         get, over = self.place.get, WORDS + 2
-        return np.array([*[get(t, 0) or over + t[0] for t in tokens], END], dtype=np.int64)
+        return np.array([*[get(t, 0) or over + crc32(t) for t in tokens], END], dtype=np.int64)
 
     def positions(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The contexts before and skipped, the class and the slot of every token of a text."""
-        own = self.context[code]
-        before = np.concatenate([[0], own[:-1]])
+        """The tokens before and skipped, the class and the slot (below a tail class, the hash) of every token of a text."""
+        before = np.concatenate([[0], code[:-1]])
         skip = np.concatenate([[0], before[:-1]])
-        return before, skip, self.klass[code], self.slot[code]
+        own, tail = np.maximum(code - 1, 0), code - (WORDS + 2)
+        is_tail = tail >= 0
+        return before, skip, np.where(is_tail, CLASSES - TAILS + (tail >> (32 - TAIL_BITS)), own // WIDE), np.where(is_tail, tail, own % WIDE)
 
 
-def views(weights: np.ndarray) -> list[np.ndarray]:
+def views(weights: np.ndarray, size: Size | None = None) -> list[np.ndarray]:
     out, at = [], 0
-    for a, b in SHAPES:
+    for a, b in (size or Size()).shapes:
         out.append(weights[at : at + a * b].reshape(a, b))
         at += a * b
     return out
 
 
-def rows_of(before: np.ndarray, skip: np.ndarray, klass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed features: the pair, and before and skip with the class."""
-    mixed = lambda a, b, size: ((a * 2654435761 + b * 40503 + 12345) & 0xFFFFFFFF) * 2246822519 % (1 << 32) >> 16 & (size - 1)
-    return mixed(before, skip, PAIRS), mixed(before, klass + 7, HASHED), mixed(skip, klass + 131, HASHED)
+def row_of(code: np.ndarray, rows: int) -> np.ndarray:
+    """The row of a context: words have their own, other tokens share hashed ones."""
+    return np.where(code < CONTEXTS, code, CONTEXTS + mix(rows, code, 1))
+
+
+def rows_of(size: Size, before: np.ndarray, skip: np.ndarray, klass: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The rows of before and skip, and hashed features: the pair, and before and skip with the class."""
+    shapes = size.shapes
+    return row_of(before, size.rows), row_of(skip, size.rows), mix(shapes[3][0], before, skip), mix(shapes[5][0], before, klass + 7), mix(shapes[6][0], skip, klass + 131)
+
+
+def paths(size: Size, before: np.ndarray, skip: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of tokens in tail classes: the nodes on the way to the leaf (the root is 1), the turns taken there, and the nodes' features."""
+    leaf = (1 << size.bits) + (hashed >> (32 - size.bits))
+    down = np.arange(size.bits - TAIL_BITS, 0, -1)
+    node, turn = leaf[:, None] >> down, (leaf[:, None] >> (down - 1)) & 1
+    b, s, m = before[:, None], skip[:, None], 1 << size.bits
+    return node, turn, [mix(m, b, node, 1), mix(m, s, node, 2), mix(m, mix(1 << 32, b, s, 3), node, 3)]
+
+
+def leaf_tables(size: Size, leaf: np.ndarray, n: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The logarithm of each node's odds to turn right, and log10 of each leaf's N + 0.5 (V + 1)."""
+    mass = np.full(1 << size.bits, 0.5)
+    np.add.at(mass, leaf, n + 0.5 * v)
+    odds, own = np.zeros(1 << size.bits, dtype=np.float32), mass
+    while len(own) > 1:
+        odds[len(own) // 2 : len(own)] = np.log(own[1::2] / own[::2])
+        own = own[::2] + own[1::2]
+    return odds, np.log10(mass)
 
 
 def log_softmax(x: np.ndarray) -> np.ndarray:
@@ -130,17 +174,21 @@ def log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
-def log_chances(w: list[np.ndarray], before: np.ndarray, skip: np.ndarray, klass: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    """Natural logarithms of the model's chances; of tail tokens, of their class."""
+def log_chances(size: Size, w: list[np.ndarray], odds: np.ndarray, before: np.ndarray, skip: np.ndarray, klass: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Natural logarithms of the model's chances; of tail tokens, of their leaf."""
     out = np.empty(len(before))
     for at in range(0, len(before), CHUNK):
         b, s, k, j = (x[at : at + CHUNK] for x in (before, skip, klass, slot))
-        pair, hb, hs = rows_of(b, s, k)
+        rb, rs, pair, hb, hs = rows_of(size, b, s, k)
         n = np.arange(len(b))
-        own = log_softmax(w[0] + w[1][b] + w[2][s] + w[3][pair])[n, k].astype(np.float64)
+        own = log_softmax(w[0] + w[1][rb] + w[2][rs] + w[3][pair])[n, k].astype(np.float64)
         real = k < CLASSES - TAILS
         kr = k[real]
         own[real] += log_softmax(w[4][kr] + w[5][hb[real]] + w[6][hs[real]])[np.arange(len(kr)), j[real]]
+        tail = ~real
+        node, turn, found = paths(size, b[tail], s[tail], j[tail])
+        x = odds[node] + sum(w[7][0][f] for f in found)
+        own[tail] -= np.logaddexp(0, np.where(turn, -x, x)).sum(axis=1)
         out[at : at + CHUNK] = own
     return out
 
@@ -159,15 +207,28 @@ def descend(w: list[np.ndarray], past: list[np.ndarray], tables: tuple[int, ...]
         w[t][at] -= RATE * slope / np.sqrt(past[t][at] + 1.0)
 
 
-def train_round(train: DataFrame, names: list[bytes], weights: np.ndarray, turn: int) -> np.ndarray:
+def descend_tree(own: np.ndarray, past: np.ndarray, spare: np.ndarray, odds: np.ndarray, node: np.ndarray, turn: np.ndarray, found: list[np.ndarray]) -> None:
+    """An AdaGrad step on the features of the nodes on the way to the leaves; ``spare`` is all 0 before and after."""
+    miss = 1 / (1 + np.exp(-(odds[node] + sum(own[f] for f in found)))) - turn
+    at = np.concatenate([f.ravel() for f in found])
+    np.add.at(spare, at, np.tile(miss.ravel().astype(np.float32), len(found)))
+    slope = spare[at]
+    past[at] = total = past[at] + slope * slope
+    own[at] = own[at] - RATE * slope / np.sqrt(total + 1.0)
+    spare[at] = 0
+
+
+def train_round(train: DataFrame, names: list[bytes], weights: np.ndarray, turn: int, model: Size | None = None, odds: np.ndarray | None = None) -> np.ndarray:
     """The weights after a round over the documents whose turn it is."""
-    size = -(-TOTAL // BLOCKS)
+    model = model or Size()
+    size, odds = -(-model.total // BLOCKS), np.zeros(1 << model.bits, dtype=np.float32) if odds is None else odds
 
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         codes, own = Codes(names), weights.copy()
-        w, past = views(own), views(np.zeros(TOTAL, dtype=np.float32))
+        w, past = views(own, model), views(np.zeros(model.total, dtype=np.float32), model)
+        spare = np.zeros(1 << model.bits, dtype=np.float32)
         waiting: list[tuple] = []
         held = seen = 0
 
@@ -175,11 +236,14 @@ def train_round(train: DataFrame, names: list[bytes], weights: np.ndarray, turn:
             b, s, k, j = (np.concatenate(x) for x in zip(*waiting, strict=True))
             for at in range(0, len(b), STEP):
                 cb, cs, ck, cj = (x[at : at + STEP] for x in (b, s, k, j))
-                pair, hb, hs = rows_of(cb, cs, ck)
-                descend(w, past, (0, 1, 2, 3), [np.zeros(len(cb), dtype=np.int64), cb, cs, pair], ck)
+                rb, rs, pair, hb, hs = rows_of(model, cb, cs, ck)
+                descend(w, past, (0, 1, 2, 3), [np.zeros(len(cb), dtype=np.int64), rb, rs, pair], ck)
                 real = ck < CLASSES - TAILS
                 if real.any():
                     descend(w, past, (4, 5, 6), [ck[real], hb[real], hs[real]], cj[real])
+                tail = ~real
+                if tail.any():
+                    descend_tree(w[7][0], past[7][0], spare, odds, *paths(model, cb[tail], cs[tail], cj[tail]))
 
         for batch in batches:
             for text in batch.column(0):
@@ -222,10 +286,11 @@ def train_round(train: DataFrame, names: list[bytes], weights: np.ndarray, turn:
     return out
 
 
-def start_weights(counts: np.ndarray, tails: np.ndarray) -> np.ndarray:
+def start_weights(counts: np.ndarray, tails: np.ndarray, size: Size | None = None) -> np.ndarray:
     """Biases from the counts of the end and the words, and of the tail classes; the rest is 0."""
-    weights = np.zeros(TOTAL, dtype=np.float32)
-    w = views(weights)
+    size = size or Size()
+    weights = np.zeros(size.total, dtype=np.float32)
+    w = views(weights, size)
     own = np.zeros(WORDS + 1)
     own[: len(counts)] = counts
     by_class = (own + 0.5).reshape(-1, WIDE)
@@ -246,29 +311,27 @@ def maxent_lm(docs: DataFrame) -> DataFrame:
     order = sorted(range(len(tokens)), key=lambda i: (-found[i], tokens[i]))
     names = [tokens[i] for i in order[:WORDS]]
     known = {tokens[i]: int(found[i]) for i in order}
-    first = F.conv(F.hex(F.substring("token", 1, 1)), 16, 10).cast("int")
-    tails = tail_table()
-    by_byte = {r["b"]: (r["n"], r["v"]) for r in counts.groupBy(first.alias("b")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}  # 256 rows at most
-    words_n, vocabulary = sum(n for n, _ in by_byte.values()), sum(v for _, v in by_byte.values())
-    tail_n, tail_v = np.zeros(TAILS), np.zeros(TAILS)
-    for b, (n, v) in by_byte.items():
-        tail_n[tails[b]] += n
-        tail_v[tails[b]] += v
-    for name in names:
-        tail_n[tails[name[0]]] -= known[name]
-        tail_v[tails[name[0]]] -= 1
+    words_n, vocabulary = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    size = Size(vocabulary)
+    leaf = F.shiftright(F.crc32("token"), 32 - size.bits).cast("int")
+    by_leaf = counts.groupBy(leaf.alias("leaf")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).toArrow()  # 256 times the vocabulary's square root, twice that at most
+    heads = np.array([crc32(name) >> (32 - size.bits) for name in names], dtype=np.int64)
+    at = np.concatenate([by_leaf.column("leaf").to_numpy().astype(np.int64), heads])
+    n_at = np.concatenate([by_leaf.column("n").to_numpy(), [-known[name] for name in names]])
+    v_at = np.concatenate([by_leaf.column("v").to_numpy(), np.full(len(names), -1)])
+    odds, leaf_whole = leaf_tables(size, at, n_at, v_at)
+    tail_n = np.bincount(at >> (size.bits - TAIL_BITS), n_at, TAILS)
     n_train, distinct = words_n + ends, vocabulary + (ends > 0)
-    weights = start_weights(np.array([ends, *[known[w] for w in names]], dtype=np.float64), tail_n)
+    weights = start_weights(np.array([ends, *[known[w] for w in names]], dtype=np.float64), tail_n, size)
     for turn in range(ROUNDS if ends else 0):
-        weights = train_round(train, names, weights, turn)
+        weights = train_round(train, names, weights, turn, size, odds)
     whole = float(np.log10(n_train + 0.5 * (distinct + 1)))
-    tail_whole = np.log10(tail_n + 0.5 * (tail_v + 1))
     schema = "row long, doc_id long, token binary, times long, n_tokens long, n_known long, base double, score double"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        codes, w = Codes(names), views(weights)
+        codes, w = Codes(names), views(weights, size)
         row = TaskContext.get().partitionId() << 33
         place, get = codes.place, known.get
         for batch in batches:
@@ -277,8 +340,8 @@ def maxent_lm(docs: DataFrame) -> DataFrame:
                 own = words(text.as_py())
                 code = codes.of(own)
                 before, skip, klass, slot = codes.positions(code)
-                lm = log_chances(w, before, skip, klass, slot).sum() / np.log(10)
-                per_tail = np.bincount(klass[klass >= CLASSES - TAILS] - (CLASSES - TAILS), minlength=TAILS)
+                lm = log_chances(size, w, odds, before, skip, klass, slot).sum() / np.log(10)
+                whole_tail = leaf_whole[slot[klass >= CLASSES - TAILS] >> (32 - size.bits)].sum()
                 base, tail, n_known = np.log10(ends + 0.5), 0.0, int(ends > 0)
                 rest, logs, times, is_tail = [], [], [], []
                 for token, n in Counter(own).items():
@@ -293,7 +356,7 @@ def maxent_lm(docs: DataFrame) -> DataFrame:
                     value, n = np.log10(np.array(logs) + 0.5) * times, np.array(times)
                     base, tail, n_known = base + value.sum(), value[is_tail].sum(), n_known + int(n.sum())
                 # A key of its own keeps the row from meeting a count, and spreads rows evenly.
-                rest.append((row, doc_id, b"\n%d" % row, 0, len(own) + 1, n_known, float(base - (len(own) + 1) * whole), float(lm + tail - per_tail @ tail_whole)))
+                rest.append((row, doc_id, b"\n%d" % row, 0, len(own) + 1, n_known, float(base - (len(own) + 1) * whole), float(lm + tail - whole_tail)))
                 for column, values in zip(out, zip(*rest, strict=True), strict=True):
                     column.extend(values)
                 row += 1

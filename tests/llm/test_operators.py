@@ -328,6 +328,31 @@ def test_every_position_teaches(spark):
     assert np.abs(maxent_lm.views(change)[1][after]).max() > 0
 
 
+def test_rare_words_are_words_of_the_model(spark):
+    """Words beyond the commonest, alike in their first byte and count, are learned and told apart by their order."""
+    common = " ".join(f"c{i} c{i}" for i in range(maxent_lm.WORDS))
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    rows = [(i, f"{common} " + "qa qb " * 2) for i in range(1000, 1040)] + [(held[0], "qa qb " * 20), (held[1], "qa qa qb qb " * 10)]
+    found = {r.doc_id: r for r in maxent_lm.maxent_lm(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id < 1000").collect()}
+    assert math.isclose(found[held[0]].base_score, found[held[1]].base_score)
+    assert found[held[0]].score > found[held[1]].score + 1
+
+
+def test_the_model_grows_with_the_vocabulary():
+    small, large = maxent_lm.Size(10_000), maxent_lm.Size(100_000_000)
+    assert large.bits > small.bits and all(a[0] > b[0] for i, (a, b) in enumerate(zip(large.shapes, small.shapes)) if i in (1, 2, 3, 5, 6))
+
+
+def test_chances_sum_to_one():
+    """Over all classes, words and leaves after a rare context."""
+    size, rng = maxent_lm.Size(), np.random.default_rng(0)
+    w, odds = maxent_lm.views(rng.normal(0, 0.3, size.total).astype(np.float32)), rng.normal(size=1 << size.bits).astype(np.float32)
+    own, leaves = np.arange(maxent_lm.WORDS + 1), np.arange(1 << size.bits) << (32 - size.bits)
+    klass = np.concatenate([own // maxent_lm.WIDE, maxent_lm.CLASSES - maxent_lm.TAILS + (leaves >> 29)])
+    before, skip = np.full(len(klass), 500_000_000), np.full(len(klass), 77)
+    assert math.isclose(np.exp(maxent_lm.log_chances(size, w, odds, before, skip, klass, np.concatenate([own % maxent_lm.WIDE, leaves]))).sum(), 1, rel_tol=1e-5)
+
+
 def test_rare_tokens_are_joined(spark, monkeypatch, docs):
     whole = sorted((r.doc_id, r.n_known, round(r.base_score, 6)) for r in maxent_lm.maxent_lm(docs.filter("doc_id IS NOT NULL")).collect())
     monkeypatch.setattr(maxent_lm, "FREQUENT", 5)
