@@ -9,15 +9,20 @@ Before a tokenizer is used it is compared with the sentencepiece library on
 
 Where no piece has the marker after another character, nothing can join
 across such a place, so the distinct words of a batch are encoded instead of whole
-texts (the first ``MEMO`` that a worker sees are remembered): the ids are the
-same.  Batches hold about ``BATCH_CHARS`` characters and are encoded by several
-threads.
+texts: the ids are the same.  Words are remembered with their packed ids up to
+``MEMO_BYTES``, and forgotten at the end of a task, as Python workers outlive
+it.  Batches hold about ``BATCH_CHARS`` characters and are encoded by several
+threads; results leave batch by batch, so neither a long table nor a long text
+adds up in a worker.
 
 Defined results: a null or empty text has no ids and decodes to the empty
 text; characters without a piece become bytes, or the unknown id where the
 model has no bytes; a text round-trips if decoding gives it back exactly
 (not so with a marker character in it, or where the normaliser changes it);
-repeated rows give repeated results; other columns are not looked at.
+texts of over ``LONG`` characters are cut before single spaces where nothing
+joins across them, which leaves their ids as they are; repeated rows give
+repeated results; an empty table gives an empty result; other columns are not
+looked at.
 """
 
 from __future__ import annotations
@@ -25,19 +30,24 @@ from __future__ import annotations
 import os
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-BATCH_CHARS, LONG, MEMO = 4_000_000, 1_000_000, 300_000
+BATCH_CHARS, LONG = 1_000_000, 1_000_000
+#: What remembered words may take in a worker, and what one takes besides its characters and ids.
+MEMO_BYTES, ENTRY = 48_000_000, 200
 THREADS = 2
+PARITY_PIECES = 200
 #: Piece types and model types of the model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -111,8 +121,14 @@ class Codec:
         inner = any(MARK in p.lstrip(MARK) for p, _, kind in self.spec.pieces if kind in (NORMAL, USER_DEFINED))
         self.by_word = not inner and not any(kind == USER_DEFINED for _, _, kind in self.spec.pieces)
         self.plain = self.spec.escape and not self.spec.squeeze and not self.spec.charsmap
-        self.first, self.later = self._build(self.spec.dummy_prefix), self._build(False)
-        self.words, self.known = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall, {}
+        self.later = self._build(False)
+        self.first = self._build(True) if self.spec.dummy_prefix and not (self.by_word and self.plain) else self.later
+        self.words = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, bytes] = {}
+        self.room = MEMO_BYTES
 
     @staticmethod
     def _bytes(piece: str, kind: int) -> bytes:
@@ -121,12 +137,15 @@ class Codec:
         return b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else piece.replace(MARK, " ").encode()
 
     def _build(self, prefix: bool):
-        from tokenizers import Regex, Tokenizer, models, normalizers, pre_tokenizers
+        from tokenizers import AddedToken, Regex, Tokenizer, models, normalizers, pre_tokenizers
 
         pieces = self.spec.pieces
         unknown = next((i for i, p in enumerate(pieces) if p[2] == UNKNOWN), 0)
         if self.spec.model_type == UNIGRAM:
-            model = models.Unigram([(p, s) for p, s, _ in pieces], unk_id=unknown, byte_fallback=self.spec.byte_fallback)
+            # Pieces that no text may match get a name of noncharacters.
+            hidden = (CONTROL, UNUSED, UNKNOWN)
+            named = [(f"\U0010ffff{i}\U0010ffff" if kind in hidden else p, s) for i, (p, s, kind) in enumerate(pieces)]
+            model = models.Unigram(named, unk_id=unknown, byte_fallback=self.spec.byte_fallback)
         elif self.spec.model_type == BPE:
             ids = {p: i for i, (p, _, _) in enumerate(pieces)}
             usable = {p: s for p, s, kind in pieces if kind == NORMAL}
@@ -146,6 +165,8 @@ class Codec:
             out.normalizer = normalizers.Sequence(steps)
         if self.by_word:
             out.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*|[^{MARK}]+"), "isolated")
+        # Pieces that the model's user defined are never split.
+        out.add_tokens([AddedToken(p, normalized=True) for p, _, kind in pieces if kind == USER_DEFINED])
         return out
 
     def parts(self, text: str) -> list[str]:
@@ -165,14 +186,20 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
         """The ids of each text, in order."""
-        waiting, chars = [], 0
-        for text in texts:
+        for _, ids in self.batches(texts):
+            yield from ids
+
+    def batches(self, texts: list[str | None]) -> Iterator[tuple[int, list[list[int]]]]:
+        """Where each batch of about ``BATCH_CHARS`` characters starts, and the ids of its texts."""
+        waiting, chars, start = [], 0, 0
+        for at, text in enumerate(texts):
             waiting.append(text or "")
             chars += len(waiting[-1])
             if chars >= BATCH_CHARS:
-                yield from self._encode(waiting)
-                waiting, chars = [], 0
-        yield from self._encode(waiting)
+                yield start, list(self._encode(waiting))
+                waiting, chars, start = [], 0, at + 1
+        if waiting:
+            yield start, list(self._encode(waiting))
 
     def _encode(self, texts: list[str]) -> Iterator[list[int]]:
         if self.by_word and self.plain:
@@ -187,29 +214,41 @@ class Codec:
             yield ids
 
     def _encode_words(self, texts: list[str]) -> Iterator[list[int]]:
-        """Each distinct word of the batch goes through the tokenizer once; frequent ones are remembered."""
+        """Each distinct word of the batch goes through the tokenizer once; the first ones are remembered."""
         head = MARK if self.spec.dummy_prefix else ""
         split = [self.words((head + t).replace(" ", MARK)) if t else [] for t in texts]
         new = list(set(chain.from_iterable(split)).difference(self.known))
-        found = {w: e.ids for w, e in zip(new, self.later.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        self.known |= found
+        found = {w: array("i", e.ids).tobytes() for w, e in zip(new, self.later.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+        known = self.known
+        known |= found
         for words in split:
-            yield list(chain.from_iterable(map(self.known.__getitem__, words)))
-        room = MEMO - (len(self.known) - len(new))
-        for i, word in enumerate(new):
-            if i >= room or len(word) > 256:
-                del self.known[word]
+            yield np.frombuffer(b"".join(map(known.__getitem__, words)), dtype=np.int32).tolist()
+        for word, ids in found.items():
+            self.room -= len(word) + len(ids) + ENTRY
+            if self.room < 0:
+                self.room += len(word) + len(ids) + ENTRY
+                del known[word]
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.spec.dummy_prefix and text[:1] == " " else text
 
+    def own_texts(self) -> list[str]:
+        """Texts that hold pieces of the model itself: of each type, the longest ones and some throughout."""
+        out = []
+        for kind in (NORMAL, USER_DEFINED, UNUSED, CONTROL, UNKNOWN):
+            own = [p.replace(MARK, " ") for p, _, k in self.spec.pieces if k == kind]
+            some = own[:: max(1, len(own) // PARITY_PIECES)] + sorted(own, key=len)[-PARITY_PIECES:]
+            out += [f"{p} a{p}b {p}{p}" for p in some]
+        return out
+
     def verify(self, data: bytes, texts=PARITY_TEXTS) -> None:
         """Raise if the ids or texts differ from those of the sentencepiece library."""
         import sentencepiece
 
         own = sentencepiece.SentencePieceProcessor(model_proto=data)
-        for text, ids in zip(texts, self.encode(list(texts)), strict=True):
+        texts = [*texts, *self.own_texts()]
+        for text, ids in zip(texts, self.encode(texts), strict=True):
             if ids != own.encode(text) or self.decode(ids) != own.decode(ids):
                 raise ValueError(f"no parity with the model's own library: {text[:80]!r}")
 
@@ -233,16 +272,19 @@ def sentencepiece(docs: DataFrame, model: str = MODEL, keep: tuple[str, ...] = (
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(data)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            lengths, same, flat = [], [], []
-            for text, ids in zip(texts, codec.encode(texts), strict=True):
-                lengths.append(len(ids))
-                same.append(codec.decode(ids) == (text or ""))
-                flat.append(pa.array(ids, pa.int32()))
-            ends = pa.array([0, *accumulate(lengths)], pa.int32())
-            values = pa.concat_arrays(flat) if flat else pa.array([], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), pa.ListArray.from_arrays(ends, values), pa.array(same, pa.bool_()), *batch.columns[2:]], names)
+        try:
+            for batch in batches:
+                texts = batch.column(1).to_pylist()
+                for start, found in codec.batches(texts):
+                    own = texts[start : start + len(found)]
+                    same = [codec.decode(ids) == (text or "") for text, ids in zip(own, found, strict=True)]
+                    lengths = [len(ids) for ids in found]
+                    values = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=sum(lengths))
+                    part = batch.slice(start, len(found))
+                    ids = pa.ListArray.from_arrays(pa.array([0, *accumulate(lengths)], pa.int32()), pa.array(values))
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths, pa.int64()), ids, pa.array(same, pa.bool_()), *part.columns[2:]], names)
+        finally:
+            codec.forget()  # the worker lives on
 
     rest = docs.select(*keep).schema.fields
     names = ["doc_id", "n_tokens", "ids", "round_trip", *keep]
