@@ -2,26 +2,38 @@
 
 Every rule rejects a document when one of its features reaches a cutoff.  The
 cutoffs are chosen on labelled documents so that, with confidence
-``1 - delta`` over all strata and rules together, no stratum loses more than
-the share ``alpha`` of its good documents:
-
-* each rule may falsely reject ``alpha / number of rules`` of a stratum;
-* the cutoffs of a rule are a fixed descending grid that does not depend on
-  the data, tested from the most lenient one down; testing stops at the first
-  failure (a fixed sequence needs no correction among its own members);
-* a cutoff with ``k`` false rejections among ``n`` good holdout documents
-  passes if the exact binomial tail ``P(Bin(n, alpha_rule) <= k)`` is at most
-  ``delta / (strata * rules)`` (Bonferroni over the sequences).
-
-Strata are the values of one column; the ``MAX_STRATA`` with most labelled
-rows are kept apart and all others form one pooled stratum, so the table of
-cutoffs has at most ``MAX_STRATA + 1`` rows whatever the input.
+``1 - delta`` over all strata together, no stratum loses more than the share
+``alpha`` of its good documents, counted among those that pass the base test
+(the base test's own rejections come on top and have no such bound):
+
+* a cutoff is a step of a fixed descending grid;
+* a third of the labelled documents (by a hash of the id) only lays out the
+  path: vectors of one step for each rule, from lenient ones (``MARGIN`` steps
+  above all good documents seen) down to those that reject more and more of
+  them (``SHARES``);
+* the others, which the path does not depend on, test its vectors in order,
+  all rules together, and stop at the first failure (a fixed sequence needs no
+  correction among its own members);
+* a vector with ``k`` false rejections among ``n`` good documents passes if
+  the exact binomial tail ``P(Bin(n, alpha) <= k)`` is at most ``delta`` over
+  the number of strata (Bonferroni);
+* of the vectors that passed, the most lenient one is used that rejects as
+  many labelled bad documents as any (all of them hold at once, so the choice
+  among them costs nothing).
+
+Strata are the values of one column.  A stratum with too few good documents to
+pass even without a false rejection is pooled with all others of that kind; if
+these are too few together, the smallest of the rest join them.  So one needs
+``log(delta / strata) / log(1 - alpha)`` test documents, some 150 for one
+stratum and 230 for five.
 
 Defined results: a null text has no words (all counts 0) and fails the base
 test; a null stratum belongs to the pooled one; labels that are null are not
 used, and a doc_id labelled twice counts as good only if all its labels are;
-with too few labels no rule passes, and only the base test rejects; columns of
-the input beyond the key, text and stratum are not looked at.
+with too few labels in all no rule passes, and only the base test rejects; a
+null id has no label; an empty table gives an empty result; columns of the
+input beyond the key, text and stratum are not looked at, and
+:func:`keep_good` keeps them whatever their names.
 """
 
 from __future__ import annotations
@@ -35,9 +47,11 @@ from pyspark.sql import Window as W
 from pointspan.shared import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
-MAX_STRATA = 64
 ALPHA, DELTA = 0.02, 0.05
 STEPS = 40
+MARGIN, SHARES = 12, tuple(i / 1000 for i in range(1, 21))
+#: Of the labelled documents, one in so many lays out the path.
+FOLDS = 3
 
 #: Name, feature over the base counts, and largest cutoff of each rule's grid; a cutoff is 0.85 times the one before.
 RULES = (
@@ -116,54 +130,85 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k > n * F.lit(p), F.lit(1.0)).otherwise(F.exp(summed))
 
 
-def stratum_key(names: list[str]) -> Column:
-    """The stratum of a row: one of ``names``, or the pooled one."""
-    return F.when(F.col("stratum").isin(names), F.concat(F.lit("="), "stratum")).otherwise(F.lit("*"))
+def first_step(expr: str, top: float) -> Column:
+    """The first step of a rule's grid that rejects a document (``STEPS``: none)."""
+    return F.lit(STEPS) - F.size(F.filter(F.array(*map(F.lit, cutoffs(top))), lambda c: feature(expr) >= c))
+
+
+def least_rows(alpha: float, level: float) -> int:
+    """How many good documents pass at ``level`` if none is rejected."""
+    return math.ceil(math.log(level) / math.log1p(-alpha))
 
 
-def choose_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> tuple[list[str], DataFrame]:
-    """The strata kept apart, and a row per stratum with each rule's cutoff (null: the rule isn't used).
+def strata_apart(tested: DataFrame, alpha: float, delta: float) -> tuple[DataFrame, int]:
+    """The strata (``stratum, count``) that can be tested on their own, and the number of groups with the pooled one."""
+    by = materialize(tested.groupBy("stratum").count(), "strata")
+    known, total = by.filter("stratum IS NOT NULL"), by.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    n = 0
+    while True:
+        apart = known.filter(F.col("count") >= n)
+        k, held, smallest = apart.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0)), F.min("count")).first()
+        need = least_rows(alpha, delta / (k + 1))
+        if k and smallest < need:
+            n = need if need > n else n + 1
+        elif k and 0 < total - held < need:
+            n = smallest + 1
+        else:
+            return apart, k + 1
 
-    ``labelled`` has the base counts, ``stratum`` and the boolean ``good``.
+
+def choose_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """``key`` and each rule's cutoff (null: the rule isn't used): a row per stratum kept apart, of key ``=stratum``, and the pooled ``*``.
+
+    ``labelled`` has the base counts, ``doc_id``, ``stratum`` and the boolean ``good``.
     """
-    good = labelled.filter("good AND NOT base_failed")
-    strata = good.filter("stratum IS NOT NULL").groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(MAX_STRATA)
-    names = [r["stratum"] for r in strata.collect()]  # at most MAX_STRATA
-    level = lambda expr, top: F.size(F.filter(F.array(*map(F.lit, cutoffs(top))), lambda c: feature(expr) >= c))
-    #: level: how many of the descending cutoffs the feature reaches from the last up, so cutoff i rejects if i >= STEPS - level
-    hits = good.select(stratum_key(names).alias("key"), F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), level(expr, top).alias("level")) for name, expr, top in RULES])).alias("x"))
-    seen = hits.groupBy("key", F.col("x.rule").alias("rule"), (F.lit(STEPS) - F.col("x.level")).alias("step")).count()
-    none = [F.when(F.col("step") == i, F.col("count")).otherwise(0) for i in range(STEPS + 1)]
-    wide = seen.groupBy("key", "rule").agg(F.sum("count").alias("n"), *[F.sum(c).alias(f"c{i}") for i, c in enumerate(none)])
-    tried = wide.select("key", "rule", "n", F.posexplode(F.array(*[F.col(f"c{i}") for i in range(STEPS)])).alias("step", "own"))
-    down = W.partitionBy("key", "rule").orderBy("step")
-    passed = (
-        tried.withColumn("k", F.sum("own").over(down))
-        .withColumn("p", binomial_tail(F.col("k"), F.col("n"), alpha / len(RULES)))
-        .withColumn("failed", F.max((F.col("p") > delta / (len(RULES) * (len(names) + 1))).cast("int")).over(down))
-        .filter("failed = 0")
-        .groupBy("key", "rule")
-        .agg(F.max("step").alias("step"))
-    )
-    value = lambda name, top: F.max(F.when(F.col("rule") == name, F.element_at(F.array(*map(F.lit, cutoffs(top))), (F.col("step") + 1).cast("int")))).alias(name)
-    return names, passed.groupBy("key").agg(*[value(name, top) for name, _, top in RULES])
-
-
-def cutoffs_for(docs: DataFrame, labels: DataFrame, alpha: float, delta: float, stratum: str) -> tuple[DataFrame, list[str], DataFrame]:
-    """The counts of all rows, written to the shared folder, the strata and their cutoffs."""
-    counts = materialize(base_counts(docs, stratum=stratum), "quality")
-    good = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") >= 1).alias("good"))
-    names, chosen = choose_cutoffs(counts.join(good, "doc_id"), alpha, delta)
-    return counts, names, materialize(chosen, "cutoffs")  # at most MAX_STRATA + 1 rows
-
-
-def judged(counts: DataFrame, names: list[str], chosen: DataFrame) -> DataFrame:
+    steps = [first_step(expr, top).alias(name) for name, expr, top in RULES]
+    lays = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(FOLDS)) == 0
+    known = materialize(labelled.filter("good IS NOT NULL AND NOT base_failed").select("stratum", "good", lays.alias("lays"), *steps), "labelled")
+    apart, groups = strata_apart(known.filter("good AND NOT lays"), alpha, delta)
+    named = known.join(apart.select("stratum", F.concat(F.lit("="), "stratum").alias("own")), "stratum", "left")
+    keyed = named.select(F.coalesce("own", F.lit("*")).alias("key"), "good", "lays", *[name for name, _, _ in RULES])
+    # The path: of each key and rule, the last step that rejects at most a share of the good documents.
+    pairs = F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), F.col(name).alias("step")) for name, _, _ in RULES])).alias("x")
+    seen = keyed.filter("good AND lays").select("key", pairs).groupBy("key", F.col("x.rule").alias("rule")).agg(F.count("*").alias("n"), *[F.sum((F.col("x.step") <= i).cast("long")).alias(f"c{i}") for i in range(STEPS)])
+    lost = F.array(*[F.col(f"c{i}") for i in range(STEPS)])
+    deepest = lambda share: F.size(F.filter(lost, lambda c: c <= F.lit(share) * F.col("n"))) - 1
+    path = F.array(*[F.greatest(F.lit(-1), deepest(0.0) - m) for m in range(MARGIN, -1, -1)], *[deepest(share) for share in SHARES])
+    laid = seen.select("key", "rule", path.alias("path")).groupBy("key").agg(*[F.max(F.when(F.col("rule") == name, F.col("path"))).alias(f"path_{name}") for name, _, _ in RULES])
+    laid = materialize(laid, "paths")
+    # The test: of each document, the first vector of the path that rejects it.
+    length = MARGIN + 1 + len(SHARES)
+    reached = lambda name: F.lit(length) - F.size(F.filter(f"path_{name}", lambda s: s >= F.col(name)))
+    tested = keyed.join(laid, "key").select("key", F.least(*[reached(name) for name, _, _ in RULES]).alias("at"), (F.col("good") & ~F.col("lays")).cast("long").alias("good"), (~F.col("good")).cast("long").alias("bad"))
+    hits = tested.groupBy("key", "at").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    upto = lambda column, i: F.sum(F.when(F.col("at") <= i, F.col(column)).otherwise(0))
+    wide = hits.groupBy("key").agg(F.sum("good").alias("n"), F.array(*[F.struct(upto("good", i).alias("k"), upto("bad", i).alias("b")) for i in range(length)]).alias("all"))
+    tried = wide.select("key", "n", F.posexplode("all").alias("at", "x"))
+    failed = F.max((binomial_tail(F.col("x.k"), F.col("n"), alpha) > delta / groups).cast("int")).over(W.partitionBy("key").orderBy("at"))
+    passed = tried.withColumn("failed", failed).filter("failed = 0").groupBy("key").agg(F.max(F.struct(F.col("x.b").alias("b"), (-F.col("at")).alias("back")))["back"].alias("back")).select("key", (-F.col("back")).alias("at"))
+    value = lambda name, top: F.get(F.array(*map(F.lit, cutoffs(top))), F.get(f"path_{name}", F.col("at"))).alias(name)
+    return passed.join(laid, "key").select("key", *[value(name, top) for name, _, top in RULES])
+
+
+def cutoffs_for(
+    docs: DataFrame, labels: DataFrame, alpha: float, delta: float, stratum: str, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """The counts of all rows (and the columns in ``keep``), written to the shared folder, and the strata's cutoffs."""
+    counts = materialize(base_counts(docs, key, text, stratum, keep), "quality")
+    known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL")
+    good = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") >= 1).alias("good"))
+    return counts, materialize(choose_cutoffs(counts.drop(*keep).join(good, "doc_id"), alpha, delta), "cutoffs")
+
+
+def judged(counts: DataFrame, chosen: DataFrame) -> DataFrame:
     """``counts`` with ``kept``."""
-    joined = counts.withColumn("key", stratum_key(names)).join(F.broadcast(chosen), "key", "left")
+    pooled = chosen.filter("key = '*'").first()  # one row at most
+    own = chosen.filter("key <> '*'").select(F.expr("substring(key, 2)").alias("stratum"), F.lit(True).alias("_own"), *[F.col(name).alias(f"_{name}") for name, _, _ in RULES])
     verdict = ~F.col("base_failed")
     for name, expr, _ in RULES:
-        verdict = verdict & F.coalesce(feature(expr) < F.col(name), F.lit(True))
-    return joined.withColumn("kept", verdict).select(*counts.columns, "kept")
+        cutoff = F.when(F.col("_own"), F.col(f"_{name}")).otherwise(F.lit(pooled[name] if pooled else None).cast("double"))
+        verdict = verdict & F.coalesce(feature(expr) < cutoff, F.lit(True))
+    return counts.join(own, "stratum", "left").withColumn("kept", verdict).select(*counts.columns, "kept")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, stratum: str = "lang") -> DataFrame:
@@ -172,15 +217,16 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
     The counts are made in one pass over the texts; choosing the cutoffs and
     applying them read only their narrow table.
     """
-    counts, names, chosen = cutoffs_for(docs, labels, alpha, delta, stratum)
-    return judged(counts, names, chosen).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    counts, chosen = cutoffs_for(docs, labels, alpha, delta, stratum)
+    return judged(counts, chosen).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, stratum: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that the rules keep; the texts are counted again rather than shuffled."""
-    _, names, chosen = cutoffs_for(docs, labels, alpha, delta, stratum)
+    """The rows of ``docs`` that the rules keep.
+
+    Rows and counts are written side by side in one pass; the cutoffs are
+    chosen from the narrow columns, and the last scan only filters.
+    """
     whole = docs.select(F.col("doc_id").alias("_id"), F.struct(*docs.columns).alias("_row"), F.col("text").alias("_raw"), F.col(stratum).alias("_stratum"))
-    counts = base_counts(whole, key="_id", text="_raw", stratum="_stratum", keep=("_row",))
-    # A generator of one row: the filter can't be pushed below it, where each count would be made anew for each rule.
-    once = counts.select(F.explode(F.array(F.struct(*counts.columns))).alias("_x")).select("_x.*")
-    return judged(once, names, chosen).filter("kept").select("_row.*")
+    counts, chosen = cutoffs_for(whole, labels, alpha, delta, "_stratum", "_id", "_raw", ("_row",))
+    return judged(counts, chosen).filter("kept").select("_row.*")
