@@ -19,7 +19,9 @@ most) are linked to the smallest.  Both ways lose no link.
 
 Defined results: a null or blank text has the fingerprint zero, which links
 like any other; a text of one or two words has one shingle; repeated rows and
-ids share a component; an empty table gives an empty result.
+ids share a component; a null id is in its text's component and is never its
+id, unless the component has no other; an empty table gives an empty result;
+other columns are not looked at, and :func:`keep_one` keeps them.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ from pointspan.shared import materialize
 
 SEED, WIDTH, NEAR = 42, 3, 2
 BUCKET = 512
+SALTS, HOT = 64, 4096
 CHUNK = 1 << 16
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 #: Fixed value: the generator polynomial of the Golay code, x^11+x^9+x^7+x^6+x^5+x+1.
@@ -69,15 +72,17 @@ def fingerprint(tokens: list[bytes], width: int = WIDTH) -> int:
     return int((2 * ones > n).astype(np.uint64) @ (np.uint64(1) << np.arange(64, dtype=np.uint64)))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp``: the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, fp`` and the columns in ``keep``: the fingerprint as a signed long."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.fromiter((fingerprint(words(t.as_py())) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *keep])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, "doc_id long, fp long")
+    rest = docs.select(*keep).schema.fields
+    schema = "doc_id long, fp long" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rest)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[F.col(k).alias(f"_{k}") for k in keep]).mapInArrow(each, schema)
 
 
 @cache
@@ -183,20 +188,53 @@ def links(prints: DataFrame) -> DataFrame:
     return two.unionAll(some).unionAll(stars).distinct()
 
 
+def grouped(prints: DataFrame) -> DataFrame:
+    """``fp, root`` for every fingerprint of ``prints``: the smallest one of its component."""
+    classes = materialize(prints.select("fp").distinct(), "classes")
+    roots = components(links(classes))
+    return materialize(classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root")), "named")
+
+
 def simhash(docs: DataFrame) -> DataFrame:
     """Per row ``doc_id``, ``fingerprint`` in hex and ``component_id``."""
     prints = materialize(fingerprints(docs), "prints")
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "classes")
-    roots = components(links(classes))
-    named = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root"))
-    named = materialize(named, "named")
-    best = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    whole = named.join(best, "root").select("fp", "component_id")
+    named = grouped(prints)
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(named, "fp")
+    best = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    whole = salted(named.join(best, "root").select("fp", "component_id"), prints)
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(whole, "fp").select("doc_id", shown.alias("fingerprint"), "component_id")
+    return whole.select("doc_id", shown.alias("fingerprint"), "component_id")
+
+
+def salted(by_print: DataFrame, prints: DataFrame) -> DataFrame:
+    """``prints`` with the columns of ``by_print`` (a row per fingerprint).
+
+    The fingerprints that many rows have are copied to ``SALTS`` salts, and
+    their rows are dealt to these, so no task gets all rows of one.
+    """
+    hot = prints.groupBy("fp").agg((F.count("*") > HOT).alias("_hot"))
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    sided = by_print.join(hot, "fp").select(*by_print.columns, "_hot", F.explode(salts).alias("_salt"))
+    dealt = F.pmod(F.xxhash64(*[c for c in prints.columns if c != "fp"]), F.lit(SALTS)).cast("int")
+    # A row meets the copy of its own salt if its fingerprint is hot, and the only one (of salt 0) if it isn't.
+    both = prints.withColumn("_own", dealt).withColumn("_salt", F.explode(F.when(F.col("_own") == 0, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.col("_own")))))
+    return both.join(sided, ["fp", "_salt"]).filter((~F.col("_hot")) | (F.col("_salt") == F.col("_own"))).drop("_hot", "_salt", "_own")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component."""
-    kept = simhash(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each component: that of the smallest id (null last), then of the smallest hash of its columns.
+
+    Every row is told apart by a number of its own, whatever its id, so rows
+    without an id and rows that share one are judged like any other; of rows
+    that are equal throughout one stays.  Column names of ``docs`` are free.
+    """
+    plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    numbered = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*docs.columns).alias("whole"),
+        F.monotonically_increasing_id().alias("row"), F.xxhash64(*plain).alias("rank"),
+    )
+    stored = materialize(fingerprints(numbered, ("whole", "row", "rank")), "prints")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rank", "row")
+    least = stored.groupBy("fp").agg(F.min(first).alias("first")).join(grouped(stored), "fp")
+    kept = least.groupBy("root").agg(F.min("first")["row"].alias("row")).select("row")
+    return stored.join(kept, "row", "left_semi").select("whole.*")
