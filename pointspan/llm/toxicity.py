@@ -20,7 +20,8 @@ Defined results: a null or empty text has no terms and gets the classifier's
 base score; labels that are null, held out, or of ids without a document teach
 nothing; an id labelled twice is toxic if any label says so; without toxic
 labels only the seed lexicon votes, and without labels every score is 0;
-repeated rows score alike; other columns are not looked at.
+repeated rows score alike; a null id is held out; an empty table gives an empty
+result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ def terms(text: str | None) -> set[bytes]:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(True))
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
