@@ -1,25 +1,26 @@
 """Language-model scores by a hashed maximum-entropy model.
 
 Counts.  Every training token is counted (pre-aggregated in each task, then
-summed by token).  The ``FREQUENT`` commonest tokens' counts are broadcast, as
-their number is fixed; other tokens of a document meet their counts in a join
-by token, where no token is frequent, so none is hot.
-
-Model.  The ``WORDS`` commonest words and the end are split into classes of
-``WIDE`` by rank; all other tokens fall into ``TAILS`` classes, and below them
-into the leaves of a binary tree, by their hash.  With the two tokens before as
-context,
-
-    P(token) = P(class | context) * P(word | class, context)
-    P(token) = P(class | context) * P(leaf | class, context) * P(token | leaf)
-
-the first two factors are softmaxes (in the tree, one yes or no at each node)
-over sums of hashed features' weights: the token before, the one before that (a
-skip), and both together.  Features are hashed from the tokens themselves,
-whatever their rank.  The nodes start at the counts' odds.  Leaves and rows of
-features grow with the square root of the vocabulary (``Size``), so that a task
-can hold the model; of tokens that meet in a leaf each has its smoothed share of
-the leaf's count, (c + 0.5) / (N + 0.5 (V + 1)), in every context.
+summed by token).  The commonest tokens' counts (``FREQUENT`` at most, those
+above a count found in a histogram) are sent to all tasks; other tokens of a
+document meet their counts in a join by token, where no token is frequent, so
+none is hot.
+
+Model.  Classes are nested, ``FAN`` in each.  The end and the ``HEAD - 1``
+commonest words have three digits, that is a class of their own; all other
+tokens have the digits of their hash, down to one of ``2**Size.bits`` leaves.
+With the two tokens before as context,
+
+    P(token) = product of P(digit | digits before it, context) * P(token | leaf)
+
+and every digit's chance is a softmax over the counts' odds plus three hashed
+features' weights: the token before, the one before that (a skip), and both
+together, each with the digits so far.  Features are hashed from the tokens
+themselves, whatever their rank.  Leaves and rows of features grow with the
+square root of the vocabulary (``Size``), so that a task can hold the model; of
+tokens that meet in a leaf each has its smoothed share of the leaf's count,
+(c + 0.5) / (n + 0.5 v + 0.5) with the leaf's n tokens of v kinds, in every
+context.
 
 Training.  In each of ``ROUNDS`` rounds, every task starts from the same
 weights, makes gradient steps (AdaGrad, on every position) over its training
@@ -30,9 +31,9 @@ document takes part in one round.  Scoring reads weights by numpy over batches
 of documents.
 
 Defined results: a null or empty text is the end alone; without training rows
-all counts are 0 (``train_tokens`` 0) and the model is even; repeated ids are
-rows of their own; a null id is held out; very long texts are scored in
-chunks; other columns are not looked at.
+all counts are 0 (``train_tokens`` 0) and the model is even; an empty table
+gives an empty result; repeated ids are rows of their own; a null id is held
+out; very long texts are scored in chunks; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -49,32 +50,34 @@ from pyspark.sql import functions as F
 from pointspan.llm.simhash import words
 from pointspan.shared import materialize
 
-FREQUENT, WORDS, WIDE, TAILS = 1 << 17, 1023, 32, 8
-TAIL_BITS = TAILS.bit_length() - 1
-CLASSES = (WORDS + 1) // WIDE + TAILS
-CONTEXTS = 1 + WORDS + 1
-PAIRS, HASHED = 4096, 8192
-ROUNDS, STEP, RATE = 3, 2048, 0.15
+FREQUENT = 1 << 17
+#: Classes in a class, their bits, and how many tokens have digits of their own: half of what three digits can tell.
+FAN, DIGIT, HEAD = 16, 4, 2048
+#: Bits of a hash, and those that the first three digits of a hashed token take.
+HASH, TOP = 32, 11
+ROUNDS, STEP = 3, 16384
+#: A step moves a weight by RATE * slope / sqrt(sum of squared slopes + EASE), so what is seen a few times moves little.
+RATE, EASE = 0.3, 30.0
 BLOCKS, TEAM, CHUNK, FLUSH = 32, 64, 1 << 15, 400_000
 FOLDS, HELD = 5, 1
-END = 1
+NONE, END = 0, 1
+IMPOSSIBLE = np.float32(-1e4)
 
 
 class Size:
-    """The model's size for a vocabulary: the bits of a leaf, and the shapes of the weights.
-
-    Shapes: class bias, before, skip, pair; word bias, before, skip; the tree's features.
-    """
+    """The model's size for a vocabulary: bits of a leaf's number, levels of digits, rows of each feature table."""
 
     def __init__(self, vocabulary: int = 0):
         root = max(vocabulary, 1) ** 0.5
-        power = lambda x: 1 << max(int(np.ceil(np.log2(x))), 0)
-        self.bits = max(power(256 * root).bit_length() - 1, 10)
-        self.rows = max(power(4 * root), 1024)
-        pairs, hashed = max(PAIRS, self.rows), max(HASHED, self.rows)
-        contexts = CONTEXTS + self.rows
-        self.shapes = ((1, CLASSES), (contexts, CLASSES), (contexts, CLASSES), (pairs, CLASSES), ((WORDS + 1) // WIDE, WIDE), (hashed, WIDE), (hashed, WIDE), (1, 1 << self.bits))
-        self.total = sum(a * b for a, b in self.shapes)
+        log = lambda x: max(int(np.ceil(np.log2(x))), 0)
+        self.bits = min(max(log(128 * root), TOP), HASH)
+        self.row_bits = max(log(4 * root), 13)
+        self.levels = 3 + -(-(self.bits - TOP) // DIGIT)
+        self.total = self.levels * 3 * FAN << self.row_bits
+
+    def wide(self, level: int) -> int:
+        """The bits of a digit: fewer than ``DIGIT`` at the last level only."""
+        return DIGIT if level < 3 else min(DIGIT, self.bits - TOP - DIGIT * (level - 3))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -104,158 +107,178 @@ def count_tokens(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(each, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def mix(size: int, a: np.ndarray, b: np.ndarray, c: np.ndarray | int = 0) -> np.ndarray:
-    """A hash of three numbers, under ``size`` (a power of 2)."""
-    own = np.multiply(a, 0x1E3779B97F4A7C15) + np.multiply(b, 0x42B2AE3D27D4EB4F) + np.multiply(c, 0x165667B19E3779F9)
-    own = (own ^ (own >> 29)) * 0x3F58476D1CE4E5B9
-    return (own >> 24) & (size - 1)
+K1, K2, K3, K4, K5 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9, 0x27D4EB2F165667C5))
 
 
-class Codes:
-    """Tokens as numbers: 0 is none, 1 is the end, 2 to WORDS + 1 are words, and above are hashes of other tokens."""
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * K4
+    return x ^ (x >> np.uint64(32))
 
-    def __init__(self, names: list[bytes]):
-        self.place = {w: i + 2 for i, w in enumerate(names)}
-
-    def of(self, tokens: list[bytes]) -> np.ndarray:
-        get, over = self.place.get, WORDS + 2
-        return np.array([*[get(t, 0) or over + crc32(t) for t in tokens], END], dtype=np.int64)
-
-    def positions(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The tokens before and skipped, the class and the slot (below a tail class, the hash) of every token of a text."""
-        before = np.concatenate([[0], code[:-1]])
-        skip = np.concatenate([[0], before[:-1]])
-        own, tail = np.maximum(code - 1, 0), code - (WORDS + 2)
-        is_tail = tail >= 0
-        return before, skip, np.where(is_tail, CLASSES - TAILS + (tail >> (32 - TAIL_BITS)), own // WIDE), np.where(is_tail, tail, own % WIDE)
-
-
-def views(weights: np.ndarray, size: Size | None = None) -> list[np.ndarray]:
-    out, at = [], 0
-    for a, b in (size or Size()).shapes:
-        out.append(weights[at : at + a * b].reshape(a, b))
-        at += a * b
-    return out
 
+def contexts(before: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the features: the token before, the skip, and both."""
+    b, s = before.astype(np.uint64) * K1, skip.astype(np.uint64) * K2
+    return mix(b), mix(s + K5), mix(mix(b) + s)
 
-def row_of(code: np.ndarray, rows: int) -> np.ndarray:
-    """The row of a context: words have their own, other tokens share hashed ones."""
-    return np.where(code < CONTEXTS, code, CONTEXTS + mix(rows, code, 1))
 
+def place(size: Size, level: int, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of the class that a token is in at a level, and its digit there.
 
-def rows_of(size: Size, before: np.ndarray, skip: np.ndarray, klass: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The rows of before and skip, and hashed features: the pair, and before and skip with the class."""
-    shapes = size.shapes
-    return row_of(before, size.rows), row_of(skip, size.rows), mix(shapes[3][0], before, skip), mix(shapes[5][0], before, klass + 7), mix(shapes[6][0], skip, klass + 131)
+    From level 3 on there are hashed tokens only, and the digits before are
+    numbered without their first bit.
+    """
+    if level < 3:
+        top = np.where(code <= HEAD, code - 1, HEAD + (np.maximum(code - HEAD - 1, 0) >> (HASH - TOP)))
+        return top >> (12 - DIGIT * level), (top >> (8 - DIGIT * level)) & (FAN - 1)
+    left, wide = HASH - TOP - DIGIT * (level - 3), size.wide(level)
+    hashed = code - HEAD - 1
+    return hashed >> left, (hashed >> (left - wide)) & ((1 << wide) - 1)
+
+
+def rows_of(size: Size, level: int, node: np.ndarray, features: tuple[np.ndarray, ...]) -> list[np.ndarray]:
+    """The row of each feature with the digits so far."""
+    own, kind = (node.astype(np.uint64) + np.uint64((level + 1) << 40)) * K3, np.uint16 if size.row_bits <= 16 else np.int64
+    return [(mix(f + own) >> np.uint64(64 - size.row_bits)).astype(kind) for f in features]
+
+
+def views(weights: np.ndarray, size: Size) -> np.ndarray:
+    """By level, feature, row and digit."""
+    return weights.reshape(size.levels, 3, 1 << size.row_bits, FAN)
+
+
+def odds_of(size: Size, head: np.ndarray, leaves: np.ndarray) -> list[np.ndarray]:
+    """By level, the logarithms of each class's chances at its digits, from the masses of head tokens and leaves."""
+    out, own = [], leaves
+    log = lambda part, whole: np.where(part > 0, np.log(np.maximum(part, 1e-30) / np.maximum(whole, 1e-30)), IMPOSSIBLE).astype(np.float32)
+    for level in range(size.levels - 1, -1, -1):
+        if level == 2:
+            own = np.concatenate([head, own])
+        part = own.reshape(-1, 1 << size.wide(level))
+        own = part.sum(axis=1)
+        table = np.full((len(own), FAN), IMPOSSIBLE, dtype=np.float32)
+        table[:, : part.shape[1]] = log(part, own[:, None])
+        out.append(table)
+    return out[::-1]
+
+
+ONES, DIGITS = np.ones(FAN, dtype=np.float32), np.arange(FAN)
+
+
+def chances(x: np.ndarray) -> np.ndarray:
+    """The softmax of rows of logits, in place; logits are differences from odds, so they never come near the bound."""
+    np.exp(np.minimum(x, 60, out=x), out=x)
+    x /= (x @ ONES)[:, None]
+    return x
+
+
+def log_chances(size: Size, w: np.ndarray, odds: list[np.ndarray], before: np.ndarray, skip: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Natural logarithms of the model's chances; of hashed tokens, of their leaf."""
+    out = np.empty(len(code))
+    for at in range(0, len(code), CHUNK):
+        c = code[at : at + CHUNK]
+        features, own, live = contexts(before[at : at + CHUNK], skip[at : at + CHUNK]), np.zeros(len(c)), np.arange(len(c))
+        for level in range(size.levels):
+            if level == 3:
+                live = np.flatnonzero(c > HEAD)
+                c, features = c[live], tuple(f[live] for f in features)
+            node, digit = place(size, level, c)
+            x = odds[level].take(node, axis=0)
+            for table, r in zip(w[level], rows_of(size, level, node, features), strict=True):
+                x += table.take(r, axis=0)
+            np.minimum(x, 60, out=x)
+            own[live] += x[np.arange(len(c)), digit]
+            own[live] -= np.log(np.exp(x, out=x) @ ONES)
+        out[at : at + CHUNK] = own
+    return out
 
 
-def paths(size: Size, before: np.ndarray, skip: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Of tokens in tail classes: the nodes on the way to the leaf (the root is 1), the turns taken there, and the nodes' features."""
-    leaf = (1 << size.bits) + (hashed >> (32 - size.bits))
-    down = np.arange(size.bits - TAIL_BITS, 0, -1)
-    node, turn = leaf[:, None] >> down, (leaf[:, None] >> (down - 1)) & 1
-    b, s, m = before[:, None], skip[:, None], 1 << size.bits
-    return node, turn, [mix(m, b, node, 1), mix(m, s, node, 2), mix(m, mix(1 << 32, b, s, 3), node, 3)]
+def descend(size: Size, w: np.ndarray, past: np.ndarray, odds: list[np.ndarray], before: np.ndarray, skip: np.ndarray, code: np.ndarray) -> None:
+    """One AdaGrad step for all digits of some tokens."""
+    features = contexts(before, skip)
+    for level in range(size.levels):
+        if level == 3:
+            live = np.flatnonzero(code > HEAD)
+            code, features = code[live], tuple(f[live] for f in features)
+        if not len(code):
+            return
+        node, digit = place(size, level, code)
+        rows = rows_of(size, level, node, features)
+        x = odds[level].take(node, axis=0)
+        for table, r in zip(w[level], rows, strict=True):
+            x += table.take(r, axis=0)
+        miss = chances(x)
+        miss[np.arange(len(code)), digit] -= 1
+        flat = miss.ravel().astype(np.float64)  # else bincount casts each slope on its own, at five times the cost
+        for table, seen, r in zip(w[level], past[level], rows, strict=True):
+            # A step has more tokens than a table has rows, as a rule, so whole tables are updated at little cost.
+            at = (r.astype(np.int64) * FAN)[:, None] + DIGITS
+            slope = np.bincount(at.ravel(), flat, table.size).astype(np.float32).reshape(table.shape)
+            square = slope * slope
+            seen += square
+            np.add(seen, EASE, out=square)
+            slope /= np.sqrt(square, out=square)
+            slope *= RATE
+            table -= slope
 
 
-def leaf_tables(size: Size, leaf: np.ndarray, n: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The logarithm of each node's odds to turn right, and log10 of each leaf's N + 0.5 (V + 1)."""
-    mass = np.full(1 << size.bits, 0.5)
-    np.add.at(mass, leaf, n + 0.5 * v)
-    odds, own = np.zeros(1 << size.bits, dtype=np.float32), mass
-    while len(own) > 1:
-        odds[len(own) // 2 : len(own)] = np.log(own[1::2] / own[::2])
-        own = own[::2] + own[1::2]
-    return odds, np.log10(mass)
-
-
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
-
-def log_chances(size: Size, w: list[np.ndarray], odds: np.ndarray, before: np.ndarray, skip: np.ndarray, klass: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    """Natural logarithms of the model's chances; of tail tokens, of their leaf."""
-    out = np.empty(len(before))
-    for at in range(0, len(before), CHUNK):
-        b, s, k, j = (x[at : at + CHUNK] for x in (before, skip, klass, slot))
-        rb, rs, pair, hb, hs = rows_of(size, b, s, k)
-        n = np.arange(len(b))
-        own = log_softmax(w[0] + w[1][rb] + w[2][rs] + w[3][pair])[n, k].astype(np.float64)
-        real = k < CLASSES - TAILS
-        kr = k[real]
-        own[real] += log_softmax(w[4][kr] + w[5][hb[real]] + w[6][hs[real]])[np.arange(len(kr)), j[real]]
-        tail = ~real
-        node, turn, found = paths(size, b[tail], s[tail], j[tail])
-        x = odds[node] + sum(w[7][0][f] for f in found)
-        own[tail] -= np.logaddexp(0, np.where(turn, -x, x)).sum(axis=1)
-        out[at : at + CHUNK] = own
-    return out
+class Codes:
+    """Tokens as numbers: 0 is none, 1 is the end, up to HEAD are the commonest words, and above are hashes of other tokens.
 
+    In lists of tokens, None is the end.
+    """
 
-def descend(w: list[np.ndarray], past: list[np.ndarray], tables: tuple[int, ...], rows: list[np.ndarray], wanted: np.ndarray) -> None:
-    """An AdaGrad step on the rows of some tables, for the softmax of their sum."""
-    x = sum(w[t][r] for t, r in zip(tables, rows, strict=True))
-    miss = np.exp(log_softmax(x))
-    miss[np.arange(len(wanted)), wanted] -= 1
-    for t, r in zip(tables, rows, strict=True):
-        order = np.argsort(r, kind="stable")
-        sorted_ = r[order]
-        first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-        slope, at = np.add.reduceat(miss[order], first, axis=0), sorted_[first]
-        past[t][at] += slope * slope
-        w[t][at] -= RATE * slope / np.sqrt(past[t][at] + 1.0)
-
-
-def descend_tree(own: np.ndarray, past: np.ndarray, spare: np.ndarray, odds: np.ndarray, node: np.ndarray, turn: np.ndarray, found: list[np.ndarray]) -> None:
-    """An AdaGrad step on the features of the nodes on the way to the leaves; ``spare`` is all 0 before and after."""
-    miss = 1 / (1 + np.exp(-(odds[node] + sum(own[f] for f in found)))) - turn
-    at = np.concatenate([f.ravel() for f in found])
-    np.add.at(spare, at, np.tile(miss.ravel().astype(np.float32), len(found)))
-    slope = spare[at]
-    past[at] = total = past[at] + slope * slope
-    own[at] = own[at] - RATE * slope / np.sqrt(total + 1.0)
-    spare[at] = 0
-
-
-def train_round(train: DataFrame, names: list[bytes], weights: np.ndarray, turn: int, model: Size | None = None, odds: np.ndarray | None = None) -> np.ndarray:
+    def __init__(self, names: list[bytes]):
+        """``names``: the commonest tokens, in order."""
+        over = HEAD + 1
+        self.index = {w: i for i, w in enumerate(names)} | {None: len(names)}
+        self.code = np.array([*range(2, min(len(names), HEAD - 1) + 2), *[over + crc32(w) for w in names[HEAD - 1 :]], END], dtype=np.int64)
+        self.known = dict(zip(self.index, self.code.tolist(), strict=True))
+
+    def of(self, tokens: list[bytes | None]) -> np.ndarray:
+        get, over = self.known.get, HEAD + 1
+        return np.array([get(t) or over + crc32(t) for t in tokens], dtype=np.int64)
+
+
+def context(code: np.ndarray, starts: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens before and skipped of every token, for texts that begin at ``starts``."""
+    before, skip = np.empty_like(code), np.empty_like(code)
+    before[1:], before[starts] = code[:-1], NONE
+    skip[1:], skip[starts] = before[:-1], NONE
+    return before, skip
+
+
+def gathered(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[tuple[list, list[bytes | None], np.ndarray]]:
+    """Some rows' first columns, all their tokens, and where each row's begin; about ``most`` tokens at a time."""
+    keys, tokens, starts = [], [], []
+    for batch in batches:
+        for key, text in zip(batch.column(0).to_pylist() if column else [None] * batch.num_rows, batch.column(column), strict=True):
+            keys.append(key)
+            starts.append(len(tokens))
+            tokens += words(text.as_py())
+            tokens.append(None)
+            if len(tokens) >= most:
+                yield keys, tokens, np.array(starts)
+                keys, tokens, starts = [], [], []
+    if keys:
+        yield keys, tokens, np.array(starts)
+
+
+def train_round(train: DataFrame, names: list[bytes], weights: np.ndarray, turn: int, model: Size, odds: list[np.ndarray]) -> np.ndarray:
     """The weights after a round over the documents whose turn it is."""
-    model = model or Size()
-    size, odds = -(-model.total // BLOCKS), np.zeros(1 << model.bits, dtype=np.float32) if odds is None else odds
+    size = -(-model.total // BLOCKS)
 
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         codes, own = Codes(names), weights.copy()
         w, past = views(own, model), views(np.zeros(model.total, dtype=np.float32), model)
-        spare = np.zeros(1 << model.bits, dtype=np.float32)
-        waiting: list[tuple] = []
-        held = seen = 0
-
-        def step() -> None:
-            b, s, k, j = (np.concatenate(x) for x in zip(*waiting, strict=True))
-            for at in range(0, len(b), STEP):
-                cb, cs, ck, cj = (x[at : at + STEP] for x in (b, s, k, j))
-                rb, rs, pair, hb, hs = rows_of(model, cb, cs, ck)
-                descend(w, past, (0, 1, 2, 3), [np.zeros(len(cb), dtype=np.int64), rb, rs, pair], ck)
-                real = ck < CLASSES - TAILS
-                if real.any():
-                    descend(w, past, (4, 5, 6), [ck[real], hb[real], hs[real]], cj[real])
-                tail = ~real
-                if tail.any():
-                    descend_tree(w[7][0], past[7][0], spare, odds, *paths(model, cb[tail], cs[tail], cj[tail]))
-
-        for batch in batches:
-            for text in batch.column(0):
-                found = codes.positions(codes.of(words(text.as_py())))
-                waiting.append(found)
-                held += len(found[0])
-                if held >= 8 * STEP:
-                    step()
-                    seen, held, waiting = seen + held, 0, []
-        if held:
-            step()
-            seen += held
+        seen = 0
+        for _, tokens, starts in gathered(batches, 0, 8 * STEP):
+            code = codes.of(tokens)
+            before, skip = context(code, starts)
+            for at in range(0, len(code), STEP):
+                descend(model, w, past, odds, *(x[at : at + STEP] for x in (before, skip, code)))
+            seen += len(code)
         if seen:
             change, team = (own - weights).astype(np.float16), TaskContext.get().partitionId() // TEAM
             for i in range(BLOCKS):
@@ -273,7 +296,10 @@ def train_round(train: DataFrame, names: list[bytes], weights: np.ndarray, turn:
 
     schema = "block int, team int, n long, change binary"
     mine = train.filter(F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(ROUNDS)) == turn).select("text")
-    summed, teams = mine.mapInArrow(steps, schema), -(-mine.rdd.getNumPartitions() // TEAM)
+    # A round has a part of the documents, so its tasks take several partitions each and send fewer changes.
+    parts, cores = mine.rdd.getNumPartitions(), train.sparkSession.sparkContext.defaultParallelism
+    tasks = max(-(-parts // ROUNDS), min(parts, cores))
+    summed, teams = mine.coalesce(tasks).mapInArrow(steps, schema), -(-tasks // TEAM)
     # A task adds up the blocks of a team of tasks, then of a team of teams, until there is one.
     while True:
         summed = summed.repartition(BLOCKS * teams, "block", "team").mapInArrow(add, schema)
@@ -286,18 +312,30 @@ def train_round(train: DataFrame, names: list[bytes], weights: np.ndarray, turn:
     return out
 
 
-def start_weights(counts: np.ndarray, tails: np.ndarray, size: Size | None = None) -> np.ndarray:
-    """Biases from the counts of the end and the words, and of the tail classes; the rest is 0."""
-    size = size or Size()
-    weights = np.zeros(size.total, dtype=np.float32)
-    w = views(weights, size)
-    own = np.zeros(WORDS + 1)
-    own[: len(counts)] = counts
-    by_class = (own + 0.5).reshape(-1, WIDE)
-    w[4][:] = np.log(by_class / by_class.sum(axis=1, keepdims=True))
-    every = np.concatenate([by_class.sum(axis=1), tails + 0.5])
-    w[0][0] = np.log(every / every.sum())
-    return weights
+def common_tokens(counts: DataFrame) -> tuple[int, list[bytes], np.ndarray]:
+    """The least count of the tokens sent to all tasks (at most ``FREQUENT``), and those tokens with their counts, commonest first."""
+    bins = counts.groupBy(F.floor(F.log2("c") * 256).alias("bin")).agg(F.count("*").alias("n"), F.min("c").alias("least"))
+    least, left = 1 << 62, FREQUENT
+    for r in sorted(bins.collect(), key=lambda r: -r["bin"]):  # a row for each 256th of a power of 2
+        left -= r["n"]
+        if left < 0:
+            break
+        least = r["least"]
+    top = counts.filter(F.col("c") >= least).toArrow()
+    tokens, found = top.column("token").to_pylist(), top.column("c").to_pylist()
+    order = sorted(range(len(tokens)), key=lambda i: (-found[i], tokens[i]))
+    return least, [tokens[i] for i in order], np.array([found[i] for i in order], dtype=np.int64)
+
+
+def leaf_masses(counts: DataFrame, size: Size, names: list[bytes], found: np.ndarray) -> np.ndarray:
+    """n + 0.5 v + 0.5 of each leaf, for its n tokens of v kinds that have no digits of their own."""
+    leaf = F.shiftrightunsigned(F.crc32("token"), HASH - size.bits).cast("int")
+    by_leaf = counts.groupBy(leaf.alias("leaf")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).toArrow()  # 128 times the vocabulary's square root, twice that at most
+    mass = np.full(1 << size.bits, 0.5)
+    mass[by_leaf.column("leaf").to_numpy()] += by_leaf.column("n").to_numpy() + 0.5 * by_leaf.column("v").to_numpy()
+    own = np.array([crc32(w) >> (HASH - size.bits) for w in names[: HEAD - 1]], dtype=np.int64)
+    np.subtract.at(mass, own, found[: HEAD - 1] + 0.5)
+    return mass
 
 
 def maxent_lm(docs: DataFrame) -> DataFrame:
@@ -306,75 +344,58 @@ def maxent_lm(docs: DataFrame) -> DataFrame:
     train = rows.filter(~held_out(F.col("doc_id")))
     counts = materialize(count_tokens(train), "counts")
     ends = train.select("doc_id").count()
-    top = counts.orderBy(F.desc("c"), "token").limit(FREQUENT).toArrow()  # FREQUENT rows at most
-    tokens, found = top.column("token").to_pylist(), top.column("c").to_numpy().astype(np.int64)
-    order = sorted(range(len(tokens)), key=lambda i: (-found[i], tokens[i]))
-    names = [tokens[i] for i in order[:WORDS]]
-    known = {tokens[i]: int(found[i]) for i in order}
+    least, names, found = common_tokens(counts)
     words_n, vocabulary = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     size = Size(vocabulary)
-    leaf = F.shiftright(F.crc32("token"), 32 - size.bits).cast("int")
-    by_leaf = counts.groupBy(leaf.alias("leaf")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).toArrow()  # 256 times the vocabulary's square root, twice that at most
-    heads = np.array([crc32(name) >> (32 - size.bits) for name in names], dtype=np.int64)
-    at = np.concatenate([by_leaf.column("leaf").to_numpy().astype(np.int64), heads])
-    n_at = np.concatenate([by_leaf.column("n").to_numpy(), [-known[name] for name in names]])
-    v_at = np.concatenate([by_leaf.column("v").to_numpy(), np.full(len(names), -1)])
-    odds, leaf_whole = leaf_tables(size, at, n_at, v_at)
-    tail_n = np.bincount(at >> (size.bits - TAIL_BITS), n_at, TAILS)
+    mass = leaf_masses(counts, size, names, found)
+    head = np.zeros(HEAD)
+    head[: min(len(names), HEAD - 1) + 1] = np.concatenate([[ends], found[: HEAD - 1]]) + 0.5
+    odds, log_mass = odds_of(size, head, mass), np.log10(mass).astype(np.float32)
     n_train, distinct = words_n + ends, vocabulary + (ends > 0)
-    weights = start_weights(np.array([ends, *[known[w] for w in names]], dtype=np.float64), tail_n, size)
+    weights = np.zeros(size.total, dtype=np.float32)
     for turn in range(ROUNDS if ends else 0):
         weights = train_round(train, names, weights, turn, size, odds)
-    whole = float(np.log10(n_train + 0.5 * (distinct + 1)))
-    schema = "row long, doc_id long, token binary, times long, n_tokens long, n_known long, base double, score double"
+    whole, log_counts = float(np.log10(n_train + 0.5 * (distinct + 1))), np.log10(np.array([*found, ends]) + 0.5)
+    nothing = float(np.log10(0.5))
+    schema = "row long, token binary, times long, own struct<doc_id: long, n_tokens: long, n_known: long, base: double, score: double>"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         codes, w = Codes(names), views(weights, size)
         row = TaskContext.get().partitionId() << 33
-        place, get = codes.place, known.get
-        for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = words(text.as_py())
-                code = codes.of(own)
-                before, skip, klass, slot = codes.positions(code)
-                lm = log_chances(size, w, odds, before, skip, klass, slot).sum() / np.log(10)
-                whole_tail = leaf_whole[slot[klass >= CLASSES - TAILS] >> (32 - size.bits)].sum()
-                base, tail, n_known = np.log10(ends + 0.5), 0.0, int(ends > 0)
-                rest, logs, times, is_tail = [], [], [], []
-                for token, n in Counter(own).items():
-                    c = get(token)
-                    if c is None:
-                        rest.append((row, doc_id, token, n, 0, 0, 0.0, 0.0))
-                    else:
-                        logs.append(c)
-                        times.append(n)
-                        is_tail.append(token not in place)
-                if logs:
-                    value, n = np.log10(np.array(logs) + 0.5) * times, np.array(times)
-                    base, tail, n_known = base + value.sum(), value[is_tail].sum(), n_known + int(n.sum())
-                # A key of its own keeps the row from meeting a count, and spreads rows evenly.
-                rest.append((row, doc_id, b"\n%d" % row, 0, len(own) + 1, n_known, float(base - (len(own) + 1) * whole), float(lm + tail - whole_tail)))
-                for column, values in zip(out, zip(*rest, strict=True), strict=True):
-                    column.extend(values)
-                row += 1
-                if len(out[0]) > 100_000:
-                    yield batch_of(out)
-                    out = [[] for _ in range(8)]
-            yield batch_of(out)
-
-    def batch_of(columns: list[list]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["row", "doc_id", "token", "times", "n_tokens", "n_known", "base", "score"])
-
-    scored = rows.mapInArrow(score, schema)
-    rare = counts.filter(F.col("c") <= int(found.min()) if len(found) else F.lit(False))
-    met = scored.join(rare, "token", "left")
-    value = F.when(F.col("times") > 0, F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).otherwise(0.0)
-    total = met.groupBy("row", "doc_id").agg(
-        F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + value).alias("base_score"), F.sum(F.col("score") + value).alias("score"),
+        get = codes.index.get
+        for ids, tokens, starts in gathered(batches, 1, CHUNK):
+            at = np.array([get(t, -1) for t in tokens], dtype=np.int64)
+            rest = np.flatnonzero(at < 0)
+            code, others = codes.code[at], [tokens[i] for i in rest.tolist()]
+            code[rest] = [HEAD + 1 + crc32(t) for t in others]
+            # Tokens of unknown count are taken as never seen here; the join puts that right.
+            value = np.where(at < 0, nothing, log_counts[at])
+            own = log_chances(size, w, odds, *context(code, starts), code) / np.log(10)
+            hashed = np.flatnonzero(code > HEAD)
+            own[hashed] += value[hashed] - log_mass[(code[hashed] - HEAD - 1) >> (HASH - size.bits)]
+            lengths = np.diff([*starts, len(tokens)])
+            known = np.add.reduceat((at >= 0).astype(np.int64), starts) - (not ends)
+            base, lm = np.add.reduceat(value, starts) - lengths * whole, np.add.reduceat(own, starts)
+            seen = Counter(zip(np.repeat(np.arange(row, row + len(ids)), lengths)[rest].tolist(), others, strict=True))
+            none = [None] * len(seen)
+            yield batch_of([[r for r, _ in seen], [t for _, t in seen], list(seen.values()), none, none, none, none, none])
+            # A key of its own keeps the row from meeting a count, and spreads rows evenly.
+            rows_here = range(row, row + len(ids))
+            yield batch_of([list(rows_here), [b"\n%d" % r for r in rows_here], [0] * len(ids), ids, lengths, known, base, lm])
+            row += len(ids)
+
+    def batch_of(columns: list) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+        own = pa.StructArray.from_arrays(arrays[3:], ["doc_id", "n_tokens", "n_known", "base", "score"], mask=pa.array(np.array(columns[2]) > 0))
+        return pa.RecordBatch.from_arrays([*arrays[:3], own], ["row", "token", "times", "own"])
+
+    met = rows.mapInArrow(score, schema).join(counts.filter(F.col("c") < least), "token", "left")
+    more = F.when(F.col("c") > 0, F.col("times") * (F.log10(F.col("c") + 0.5) - nothing))
+    total = met.groupBy("row").agg(F.max("own").alias("own"), F.coalesce(F.sum(F.when(F.col("c") > 0, F.col("times"))), F.lit(0)).alias("known"), F.coalesce(F.sum(more), F.lit(0.0)).alias("more"))
+    return total.select(
+        F.col("own.doc_id").alias("doc_id"), held_out(F.col("own.doc_id")).alias("held_out"), F.col("own.n_tokens").alias("n_tokens"), (F.col("own.n_known") + F.col("known")).alias("n_known"),
+        F.lit(int(n_train)).cast("long").alias("train_tokens"), (F.col("own.base") + F.col("more")).alias("base_score"), (F.col("own.score") + F.col("more")).alias("score"),
     )
-    return total.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(int(n_train)).cast("long").alias("train_tokens"), "base_score", "score")
