@@ -82,6 +82,22 @@ class BoxColumns:
     def far(self) -> tuple[Column, ...]:
         return tuple(p + s for p, s in zip(self.corner(), self.size(), strict=True))
 
+    def child(self, octant: Column) -> BoxColumns:
+        """Octant 0 to 7."""
+        half = [s / 2 for s in self.size()]
+        bit = lambda i: F.shiftright(octant, i).bitwiseAND(F.lit(1))
+        return BoxColumns(*[p + bit(i) * h for i, (p, h) in enumerate(zip(self.corner(), half, strict=True))], *half)
+
+    def neighbor(self, place: Column) -> BoxColumns:
+        """Of the 27 boxes of a block of three each way, in z-order, the one at ``place``; 13 is the box itself."""
+        step = lambda i: F.floor(place / 3**i) % 3 - 1
+        return BoxColumns(*[p + step(i) * s for i, (p, s) in enumerate(zip(self.corner(), self.size(), strict=True))], *self.size())
+
+    @classmethod
+    def around(cls, x: Column, y: Column, z: Column, r: Column) -> BoxColumns:
+        """The box of a ball."""
+        return cls(x - r, y - r, z - r, 2 * r, 2 * r, 2 * r)
+
     def vertices(self) -> list[tuple[Column, ...]]:
         """The eight corners in z-order: bit 0 of the index is x, bit 1 y, bit 2 z."""
         low, high = self.corner(), self.far()

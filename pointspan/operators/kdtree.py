@@ -81,14 +81,10 @@ class PointTree:
             pairs = search.ball_point(asked, self.frame.df, r)
             lists = pairs.groupBy("qid").agg((F.sort_array(F.collect_list("id")) if return_sorted else F.collect_list("id")).alias("ids"))
             return asked.select("qid").join(lists, "qid", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>")))
-        shapes = [(q["qid"], Sphere.of((q["x"], q["y"], q["z"]), r, unsafe=True)) for q in asked.collect()]  # the caller's own list
+        balls = asked.withColumn("r", F.lit(float(r)))
         if return_length:
-            return search.ball_lengths(self.index, shapes)
-        parts = [search.in_leaves(self.index, s).select(F.lit(i).cast("long").alias("qid"), ID) for i, s in shapes]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionAll(part)
-        return out.groupBy("qid").agg(F.sort_array(F.collect_list(ID)).alias("ids"))
+            return search.ball_lengths(self.index, balls)
+        return search.balls_nonstrict(self.index, balls).groupBy("qid").agg(F.sort_array(F.collect_list(ID)).alias("ids"))
 
     def query_ball_tree(self, other: PointTree, r: float) -> DataFrame:
         return joins.ball_tree(self.frame.df, other.frame.df, r, lists=True)

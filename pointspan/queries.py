@@ -17,7 +17,7 @@ from pointspan.functions import geometry as g
 from pointspan.operators import joins, knn, navigate, search
 from pointspan.plans.index import Index, all_cube_boxes, build_index, cube_of
 from pointspan.shared import materialize, table
-from pointspan.sources.points import ID, TYPE, PointFrame, auto_box
+from pointspan.sources.points import ID, TYPE, PointFrame, auto_box, inverse
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -58,8 +58,15 @@ def orders(spark: SparkSession, sf_dir: str) -> PointFrame:
     return PointFrame(df, name="orders")
 
 
-def queries20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).df.filter("id < 20").select(F.col(ID).alias("qid"), *g.AXES)
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query set of batch searches: every row whose id is divisible by 50."""
+    return events(spark, sf_dir).df.filter("id % 50 = 0").select(F.col(ID).alias("qid"), *g.AXES)
+
+
+def balls(spark: SparkSession) -> DataFrame:
+    """Three balls: in the box, out of it in part, and away from it."""
+    rows = [(i, b.cx, b.cy, b.cz, b.r) for i, b in enumerate((SPH_A, SPH_OUT, SPH_NONE))]
+    return spark.createDataFrame(rows, "qid long, x double, y double, z double, r double")
 
 
 def query(name: str, oracle: str | None = None):
@@ -96,12 +103,17 @@ query("project_point_on_box", f"SELECT id, {', '.join(f'least(greatest({a}, {p!r
 
 
 def small_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A box of its own around every tenth event."""
-    df = events(spark, sf_dir).df.filter(F.col(ID) % 10 == 0)
-    return df.select(ID, (F.col("x") - 20.0).alias("ox"), (F.col("y") - 10.0).alias("oy"), (F.col("z") - 30.0).alias("oz"), F.lit(40.0).alias("odx"), F.lit(25.0).alias("ody"), F.lit(60.0).alias("odz"))
+    """A box of its own around every event."""
+    return events(spark, sf_dir).df.select(ID, (F.col("x") - 20.0).alias("ox"), (F.col("y") - 10.0).alias("oy"), (F.col("z") - 30.0).alias("oz"), F.lit(40.0).alias("odx"), F.lit(25.0).alias("ody"), F.lit(60.0).alias("odz"))
+
 
+def boxed(box: g.BoxColumns, corner: str, size: str | None = None) -> list:
+    """A box's columns under names of their own."""
+    low = [c.alias(f"{corner}{a}") for a, c in zip(g.AXES, box.corner(), strict=True)]
+    return low + ([c.alias(f"{size}{a}") for a, c in zip(g.AXES, box.size(), strict=True)] if size else [])
 
-BOXES = f"SELECT id, x - 20.0 AS ox, y - 10.0 AS oy, z - 30.0 AS oz, 40.0::DOUBLE AS odx, 25.0::DOUBLE AS ody, 60.0::DOUBLE AS odz FROM ({sql.EV}) WHERE id % 10 = 0"
+
+BOXES = f"SELECT id, x - 20.0 AS ox, y - 10.0 AS oy, z - 30.0 AS oz, 40.0::DOUBLE AS odx, 25.0::DOUBLE AS ody, 60.0::DOUBLE AS odz FROM ({sql.EV})"
 
 
 @query("clip_boxes", sql.clip(BOXES, BOX_A))
@@ -113,14 +125,13 @@ def clip_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("child_boxes", f"SELECT id, k AS octant, {', '.join(f'o{a} + ((k // {2**i}) % 2) * (od{a} / 2) AS c{a}, od{a} / 2 AS cd{a}' for i, a in enumerate('xyz'))} FROM ({BOXES}), (SELECT unnest(range(8)) AS k) AS o")
 def child_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = small_boxes(spark, sf_dir).withColumn("octant", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))))
-    bit = lambda i: F.shiftright("octant", i).bitwiseAND(F.lit(1))
-    return df.select(ID, "octant", *[(F.col(f"o{a}") + bit(i) * (F.col(f"od{a}") / 2)).alias(f"c{a}") for i, a in enumerate(g.AXES)], *[(F.col(f"od{a}") / 2).alias(f"cd{a}") for a in g.AXES])
+    return df.select(ID, "octant", *boxed(g.BoxColumns.named().child(F.col("octant")), "c", "cd"))
 
 
 @query("neighbor_boxes", f"SELECT id, k AS place, {', '.join(f'o{a} + ((k // {3**i}) % 3 - 1) * od{a} AS n{a}' for i, a in enumerate('xyz'))} FROM ({BOXES}), (SELECT unnest(range(27)) AS k) AS o WHERE k <> 13")
 def neighbor_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = small_boxes(spark, sf_dir).withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(26).cast("long")))).filter("place <> 13")
-    return df.select(ID, "place", *[(F.col(f"o{a}") + (F.floor(F.col("place") / 3**i) % 3 - 1) * F.col(f"od{a}")).alias(f"n{a}") for i, a in enumerate(g.AXES)])
+    return df.select(ID, "place", *boxed(g.BoxColumns.named().neighbor(F.col("place")), "n"))
 
 
 @query("box_vertices", f"SELECT id, k + 1 AS vertex, {', '.join(f'CASE WHEN (k // {2**i}) % 2 = 1 THEN o{a} + od{a} ELSE o{a} END AS v{a}' for i, a in enumerate('xyz'))} FROM ({BOXES}), (SELECT unnest(range(8)) AS k) AS o")
@@ -130,7 +141,9 @@ def box_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("box_center", f"SELECT id, {', '.join(f'o{a} + od{a} / 2 AS m{a}' for a in 'xyz')} FROM ({BOXES})")(lambda s, d: small_boxes(s, d).select(ID, *[c.alias(f"m{a}") for a, c in zip(g.AXES, g.BoxColumns.named().center(), strict=True)]))
-query("sphere_to_box", f"SELECT id, x - 5.5 AS ox, y - 5.5 AS oy, z - 5.5 AS oz, 11.0::DOUBLE AS odx FROM ({sql.EV})")(lambda s, d: events(s, d).df.select(ID, *[(F.col(a) - 5.5).alias(f"o{a}") for a in g.AXES], F.lit(11.0).alias("odx")))
+query("sphere_to_box", f"SELECT id, x - 5.5 AS ox, y - 5.5 AS oy, z - 5.5 AS oz, 11.0::DOUBLE AS odx, 11.0::DOUBLE AS ody, 11.0::DOUBLE AS odz FROM ({sql.EV})")(
+    lambda s, d: events(s, d).df.select(ID, *boxed(g.BoxColumns.around(*xyz(), F.lit(5.5)), "o", "od"))
+)
 query("euclidean_distance", f"SELECT id, sqrt({sql.d2('x', 'y', 'z', '150.0', '75.0', '360.0')}) AS dist FROM ({sql.EV})")(lambda s, d: events(s, d).df.select(ID, g.distance(*xyz(), F.lit(150.0), F.lit(75.0), F.lit(360.0)).alias("dist")))
 query("dataset_bounding_box", sql.auto_box(sql.EV))(lambda s, d: events(s, d).df.agg(*auto_box()))
 query("box_box_overlap", f"SELECT id, {sql.box_code(BOX_A)} AS code FROM ({BOXES})")(lambda s, d: small_boxes(s, d).select(ID, BOX_A.overlap(g.BoxColumns.named()).alias("code")))
@@ -180,7 +193,9 @@ query("containing_node", sql.index(sql.EV, GRID, 50, "SELECT cube_id, tag, n FRO
 query("index_by_type", sql.index(sql.EV, GRID, 50, "SELECT ptype AS particle_type, cube_id, tag, n, start FROM nodes", True))(lambda s, d: make(events(s, d), 50, GRID, True).nodes.select(TYPE, F.col("cube_id").cast("long"), "tag", "n", "start"))
 query("sort_index", sql.index(sql.EV, GRID, 50, "SELECT pos, id FROM placed"))(lambda s, d: make(events(s, d), 50, GRID).points.select("pos", ID))
 query("reorder_by_x", f"SELECT id, CAST(row_number() OVER (ORDER BY x, id) - 1 AS BIGINT) AS pos FROM ({sql.EV})")(lambda s, d: events(s, d).reorder("x", ID).select(ID, F.col("pos").cast("long")))
-query("invert_index", f"SELECT CAST(row_number() OVER (ORDER BY x, id) - 1 AS BIGINT) AS pos, id FROM ({sql.EV}) WHERE id % 3 = 0")(lambda s, d: PointFrame(events(s, d).df.filter("id % 3 = 0")).reorder("x", ID).select(F.col("pos").cast("long"), ID))
+query("invert_index", f"SELECT id AS pos, CAST(row_number() OVER (ORDER BY x, id) - 1 AS BIGINT) AS value FROM ({sql.EV})")(
+    lambda s, d: inverse(events(s, d).reorder("x", ID).select(F.col("pos").cast("long"), F.col(ID).alias("value")))
+)
 
 # Range search
 
@@ -193,14 +208,22 @@ for name, shape, code in (("sphere", SPH_A, sql.sphere_code(SPH_A)), ("box", BOX
     run = f"SELECT h.cube_id, h.tag, h.start, h.stop, CAST(h.code < 8 AS INTEGER) AS partial FROM (SELECT *, {code} AS code FROM nodes) AS h LEFT JOIN (SELECT cube_id, tag, {code} AS code FROM nodes) AS u ON u.cube_id = h.cube_id AND u.tag = substr(h.tag, 1, length(h.tag) - 1) WHERE h.code > 0 AND (h.code = 8 OR h.is_leaf) AND coalesce(u.code, 0) < 8"
     query(f"{name}_chunks", sql.index(sql.EV, GRID, 50, run))(lambda s, d, shape=shape: search.chunks(make(events(s, d), 50, GRID), shape).withColumn("cube_id", F.col("cube_id").cast("long")))
     query(f"{name}_chunk_rows", sql.index(sql.EV, GRID, 50, f"WITH hit AS (SELECT cube_id, tag, {code} AS code FROM nodes WHERE is_leaf) SELECT p.pos FROM placed AS p JOIN hit AS h ON p.cube_id = h.cube_id AND p.leaf_tag = h.tag WHERE h.code > 0"))(lambda s, d, shape=shape: search.expand(search.chunks(make(events(s, d), 50, GRID), shape)))
+    strict = sql.in_sphere(shape) if name == "sphere" else sql.in_box(shape)
+    query(f"{name}_indexed_ids", sql.index(sql.EV, GRID, 50, f"SELECT p.id, p.pos FROM placed AS p JOIN ({sql.EV}) AS e ON e.id = p.id WHERE {strict}"))(
+        lambda s, d, shape=shape: search.inside_indexed(make(events(s, d), 50, GRID), shape).select(ID, "pos")
+    )
 query("masked_cubes_range", sql.index(sql.EV, GRID, 50, f"WITH hit AS (SELECT cube_id, tag, {sql.sphere_code(SPH_A)} AS code FROM nodes WHERE is_leaf AND cube_id IN (4, 12, 13, 14)) SELECT p.id FROM placed AS p JOIN hit AS h ON p.cube_id = h.cube_id AND p.leaf_tag = h.tag WHERE h.code > 0"))(lambda s, d: ids(search.in_leaves(make(events(s, d), 50, GRID), SPH_A, (4, 12, 13, 14))))
 query("sphere_subset_fields", f"SELECT id, x, y, z, props FROM ({sql.EV}) WHERE {sql.in_sphere(SPH_A)}")(lambda s, d: search.subset(events(s, d), SPH_A, "props").df)
 query("box_subset_all_fields", f"SELECT id, x, y, z, props FROM ({sql.EV}) WHERE {sql.in_box(BOX_A)}")(lambda s, d: search.subset(events(s, d), BOX_A, "all").df)
 query("box_embeddings", f"SELECT id, x, y, z FROM ({sql.EMB}) WHERE {sql.in_box(BOX_E)}")(lambda s, d: search.subset(embeddings(s, d), BOX_E).df)
 query("circle_orders", f"SELECT id FROM ({sql.ORD}) WHERE {sql.in_sphere(g.Sphere(150000.0, 9500.0, 0.0, 2000.3))}")(lambda s, d: ids(search.inside(orders(s, d).df, g.Sphere(150000.0, 9500.0, 0.0, 2000.3))))
 query("range_by_type", f"SELECT ptype AS particle_type, count(*) AS n FROM ({sql.EV}) WHERE {sql.in_sphere(SPH_A)} GROUP BY 1")(lambda s, d: search.inside(events(s, d).df, SPH_A).groupBy(TYPE).agg(F.count("*").alias("n")))
-query("ball_point_batch", f"SELECT q.id AS qid, p.id FROM ({sql.EV}) AS q, ({sql.EV}) AS p WHERE q.id < 20 AND {sql.pair_d2('q', 'p')} <= {40.3 * 40.3!r}")(lambda s, d: search.ball_point(queries20(s, d), events(s, d).df, 40.3))
-query("ball_point_lengths", sql.index(sql.EV, GRID, 50, " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS qid, CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM nodes WHERE is_leaf AND {sql.sphere_code(s_)} > 0" for i, s_ in enumerate((SPH_A, SPH_OUT, SPH_NONE)))))(lambda s, d: search.ball_lengths(make(events(s, d), 50, GRID), list(enumerate((SPH_A, SPH_OUT, SPH_NONE)))))
+query("ball_point_batch", f"SELECT q.id AS qid, p.id FROM ({sql.EV}) AS q, ({sql.EV}) AS p WHERE q.id % 50 = 0 AND {sql.pair_d2('q', 'p')} <= {40.3 * 40.3!r}")(lambda s, d: search.ball_point(asked(s, d), events(s, d).df, 40.3))
+query("ball_point_lengths", sql.index(sql.EV, GRID, 50, " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS qid, CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM nodes WHERE is_leaf AND {sql.sphere_code(s_)} > 0" for i, s_ in enumerate((SPH_A, SPH_OUT, SPH_NONE)))))(lambda s, d: search.ball_lengths(make(events(s, d), 50, GRID), balls(s)))
+query(
+    "balls_nonstrict_batch",
+    sql.index(sql.EV, GRID, 50, f"SELECT q.id AS qid, CAST(sum(n) AS BIGINT) AS n FROM ({sql.EV}) AS q, nodes WHERE q.id % 50 = 0 AND is_leaf AND {' + '.join(f'pow(greatest(o{a} - q.{a}, 0, q.{a} - (o{a} + od{a})), 2)' for a in 'xyz')} <= {40.3 * 40.3!r} GROUP BY 1"),
+)(lambda s, d: search.balls_nonstrict(make(events(s, d), 50, GRID), asked(s, d).withColumn("r", F.lit(40.3))).groupBy("qid").agg(F.count("*").alias("n")))
 
 # Nearest neighbours
 
@@ -209,10 +232,10 @@ CENTER = sql.d2("x", "y", "z", *map(repr, C))
 query("knn_single", f"SELECT row_number() OVER (ORDER BY dist, id) AS rank, id, dist FROM (SELECT id, sqrt({CENTER}) AS dist FROM ({sql.EV})) ORDER BY dist, id LIMIT 10")(lambda s, d: knn.nearest(events(s, d).df, C, 10))
 query("knn_upper_bound", f"SELECT row_number() OVER (ORDER BY dist, id) AS rank, id, dist FROM (SELECT id, sqrt({CENTER}) AS dist FROM ({sql.EV})) WHERE dist < 20.5 ORDER BY dist, id LIMIT 100")(lambda s, d: knn.nearest(events(s, d).df, C, 100, 20.5))
 query("knn_manhattan", f"SELECT row_number() OVER (ORDER BY dist, id) AS rank, id, dist FROM (SELECT id, abs({C[0]!r} - x) + abs({C[1]!r} - y) + abs({C[2]!r} - z) AS dist FROM ({sql.EV})) ORDER BY dist, id LIMIT 10")(lambda s, d: knn.nearest(events(s, d).df, C, 10, p=1))
-BATCH = f"SELECT qid, rank, id, dist FROM (SELECT *, row_number() OVER (PARTITION BY qid{{by}} ORDER BY dist, id) AS rank FROM (SELECT q.id AS qid, p.id, p.ptype, sqrt({sql.pair_d2('q', 'p')}) AS dist FROM ({sql.EV}) AS q, ({sql.EV}) AS p WHERE q.id < 20))"
-query("knn_batch", BATCH.format(by="") + " WHERE rank <= 10")(lambda s, d: knn.nearest_batch(queries20(s, d), events(s, d).df, 10))
-query("knn_kth_ranks", BATCH.format(by="") + " WHERE rank IN (2, 5)")(lambda s, d: knn.ranks(knn.nearest_batch(queries20(s, d), events(s, d).df, 5), queries20(s, d), (2, 5), 0))
-query("knn_by_type", BATCH.format(by=", ptype").replace("SELECT qid,", "SELECT ptype AS particle_type, qid,") + " WHERE rank <= 3")(lambda s, d: knn.nearest_batch(queries20(s, d), events(s, d).df, 3, by=(TYPE,)))
+BATCH = f"SELECT qid, rank, id, dist FROM (SELECT *, row_number() OVER (PARTITION BY qid{{by}} ORDER BY dist, id) AS rank FROM (SELECT q.id AS qid, p.id, p.ptype, sqrt({sql.pair_d2('q', 'p')}) AS dist FROM ({sql.EV}) AS q, ({sql.EV}) AS p WHERE q.id % 50 = 0))"
+query("knn_batch", BATCH.format(by="") + " WHERE rank <= 10")(lambda s, d: knn.nearest_batch(asked(s, d), events(s, d).df, 10))
+query("knn_kth_ranks", BATCH.format(by="") + " WHERE rank IN (2, 5)")(lambda s, d: knn.ranks(knn.nearest_batch(asked(s, d), events(s, d).df, 5), asked(s, d), (2, 5), 0))
+query("knn_by_type", BATCH.format(by=", ptype").replace("SELECT qid,", "SELECT ptype AS particle_type, qid,") + " WHERE rank <= 3")(lambda s, d: knn.nearest_batch(asked(s, d), events(s, d).df, 3, by=(TYPE,)))
 query("nearest_one", f"SELECT id, sqrt({CENTER}) AS dist FROM ({sql.EV}) ORDER BY {CENTER}, id LIMIT 1")(lambda s, d: knn.nearest_one(events(s, d).df, C))
 query("nearest_cube", sql.nearest_cube(GRID, (720.5, 80.25, 300.5)))(lambda s, d: knn.nearest_cube(make(events(s, d), 50, GRID), (720.5, 80.25, 300.5)).withColumn("cube_id", F.col("cube_id").cast("long")))
 query("radius_for_m", f"SELECT max(dist) AS radius FROM (SELECT sqrt({CENTER}) AS dist FROM ({sql.EV}) ORDER BY 1 LIMIT 100)")(lambda s, d: knn.radius_for(events(s, d).df, C, 100))

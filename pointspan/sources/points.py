@@ -121,6 +121,11 @@ def _any(tests) -> Column:
     return out
 
 
+def inverse(order: DataFrame) -> DataFrame:
+    """The inverse of an order ``pos, value``: of each value, taken as a place, the place it had."""
+    return order.select(F.col("value").cast("long").alias("pos"), F.col("pos").cast("long").alias("value"))
+
+
 def number_rows(df: DataFrame) -> DataFrame:
     """An ``id`` for rows that have none: unique, in the order of files and rows, not gapless."""
     return df.withColumn(ID, F.monotonically_increasing_id())

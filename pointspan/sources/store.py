@@ -90,11 +90,11 @@ def read_points(spark: SparkSession, path: str, box=None, prefer_sorted: bool =
 
 
 def write_index(index: Index, path: str, overwrite: bool = False) -> str:
-    """Write an index; points are range-partitioned and sorted by cube and leaf, so box filters skip row groups."""
+    """Write an index; points have a folder for each cube and are sorted by leaf, so searches read the cubes they touch only."""
     spark = index.points.sparkSession
     path = free_path(spark, path, overwrite)
     points = index.points.repartitionByRange("cube_id", "leaf_tag").sortWithinPartitions("cube_id", "leaf_tag", ID)
-    points.write.mode("overwrite").partitionBy(*index.by).parquet(f"{path}/points")
+    points.write.mode("overwrite").partitionBy(*index.by, "cube_id").parquet(f"{path}/points")
     index.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
     index.cubes.write.mode("overwrite").parquet(f"{path}/cubes")
     write_meta(spark, path, {"version": VERSION, "box": index.box.values(), "side": index.side, "threshold": index.threshold, "depth": index.depth, "by": index.by, "name": "index"})

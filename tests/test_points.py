@@ -237,12 +237,19 @@ def test_sources(spark, frame):
 
 def test_command_line(spark, frame, tmp_path):
     frame.df.filter(g.finite()).write.parquet(f"{tmp_path}/raw.parquet")
-    out = cli.main([f"{tmp_path}/raw.parquet", f"{tmp_path}/out", "-n", "3", "-c", "50", "-t", "4"], spark)
+    out = cli.main([f"{tmp_path}/raw.parquet", f"{tmp_path}/out", "-n", "3", "-p", "50", "--depth", "4"], spark)
     assert store.read_index(spark, out, ["A"]).points.count() == len([i for i in range(400) if i % 3])
     with pytest.raises(SystemExit):
         cli.main([f"{tmp_path}/raw.parquet", f"{tmp_path}/out"], spark)
 
 
+def test_command_line_options(tmp_path):
+    (tmp_path / "some.txt").write_text("-p\n100\n-n\n5\n")
+    args = cli.parse(["-t", "0", "Gas", "-x", "1.5", "-n", "4", "-c", f"{tmp_path}/some.txt", "--", "snap", "out"])
+    assert (args.particle_threshold, args.side_length, args.particle_types, args.x, args.snapshot, args.output) == (100, 4, ["PartType0", "Gas"], 1.5, "snap", "out")
+    assert cli.parse(["snap", "-v"]).verbose and cli.parse(["snap"]).particle_threshold == 400
+
+
 def test_stream(spark, frame, tmp_path):
     frame.df.write.parquet(f"{tmp_path}/in")
     stream = stream_inside(spark.readStream.schema(frame.df.schema).parquet(f"{tmp_path}/in"), BALL)
