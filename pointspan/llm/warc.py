@@ -1,7 +1,13 @@
 """Deterministic sharded WARC archives: a writer and a reader.
 
-Records are range-sorted: a histogram of the ids' bytes cuts their range into
-shards of about ``SHARD_BYTES``, the same ones on every run.  A task writes
+Records are range-sorted by id, null ids first, then by a hash of the payload.
+Shards are cut at weighted quantiles of that order: a histogram of the
+records' bytes over the first digits of the order, of which bins that hold more
+than a quarter of a shard are cut again by the next digits, until none does.
+So an outlier among the ids or many rows without an id make no large shard
+(rows that share id and payload stay together).  Shards hold about
+``SHARD_BYTES``, or more where there would be over ``MOST_SHARDS``; they are
+the same ones on every run.  A task writes
 each shard's records in order into gzip members, one a record, and rolls to
 a new file once a file has ``FILE_BYTES`` compressed.  All headers are made
 anew: lengths, SHA-256 digests of block and payload, record ids from page ids.
@@ -29,27 +35,38 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pointspan.shared import materialize, new_folder
 
 LEAST_SHARED = 100
-SHARD_BYTES, FILE_BYTES = 32 << 20, 8 << 20
-BINS = 4096
+SHARD_BYTES, FILE_BYTES, MOST_SHARDS = 32 << 20, 8 << 20, 50_000
+#: Hex digits of the order: whether there is an id, the id, the payload's hash; how many are cut at a time, and a record's bytes besides its payload.
+DIGITS, STEP, HEADERS = 1 + 16 + 8, 3, 600
 SALTS, HOT = 16, 64
 DATE = "2024-01-01T00:00:00Z"
 READ = 1 << 20
 MANIFEST = "shard int, name string, path string, records long, bytes long"
 
 
+def order_key(page_id: Column, payload_hash: Column) -> Column:
+    """The order of records as a string of hex digits."""
+    hexed = lambda value, n: F.lpad(F.hex(value), n, "0")
+    number = F.coalesce(page_id, F.lit(-(1 << 63))).bitwiseXOR(F.lit(-(1 << 63)))
+    return F.concat(F.when(page_id.isNull(), F.lit("0")).otherwise(F.lit("1")), hexed(number, 16), hexed(F.shiftrightunsigned(payload_hash, 32), 8))
+
+
 def plan_records(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``page_id, bytes, digest`` of every page, and ``page_id, digest, first`` of revisits with the page they point to."""
+    """``page_id, bytes, digest, place`` of every page, and ``page_id, digest, place, first`` of revisits with the page they point to."""
     raw = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.octet_length(raw).cast("long").alias("bytes"), F.sha2(raw.cast("binary"), 256).alias("digest"))
+    page_id = F.col("page_id").cast("long")
+    own = pages.select(page_id.alias("page_id"), F.octet_length(raw).cast("long").alias("bytes"), F.sha2(raw.cast("binary"), 256).alias("digest"), order_key(page_id, F.xxhash64(raw)).alias("place"))
     own = materialize(own, "digests")
     met = own.filter(F.col("bytes") >= LEAST_SHARED)
     shared = met.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
@@ -57,7 +74,33 @@ def plan_records(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     salted = shared.withColumn("salt", F.explode(F.when(F.col("n") > HOT, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1)))))
     spread = F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")
     twins = met.withColumn("salt", F.explode(F.array(F.lit(-1), spread))).join(salted, ["digest", "salt"])
-    return own, twins.select("page_id", "digest", "first").filter(F.col("page_id") != F.col("first")).distinct()
+    return own, twins.select("page_id", "digest", "place", "first").filter(F.col("page_id") != F.col("first")).distinct()
+
+
+def shard_starts(own: DataFrame, shard_bytes: int) -> list[str]:
+    """Where each shard begins in the order: at most one prefix for each ``shard_bytes`` of the records."""
+    low, high = own.agg(F.min("place"), F.max("place")).first()
+    if low is None:
+        return [""]
+    same = next((i for i in range(DIGITS) if low[i] != high[i]), DIGITS)
+    weight, live, bins = F.sum(F.col("bytes") + HEADERS).alias("b"), None, None
+    for length in range(min(same + STEP, DIGITS), DIGITS + STEP, STEP):
+        length = min(length, DIGITS)
+        rows = own.select("bytes", F.substring("place", 1, length).alias("bin"), F.substring("place", 1, length - STEP).alias("parent"))
+        if live is None:
+            parts = rows.groupBy("bin").agg(weight).withColumn("start", F.sum("b").over(W.orderBy("bin")) - F.col("b"))  # 16**STEP rows at most
+        else:
+            inside = rows.join(live, "parent").groupBy("parent", "start", "bin").agg(weight)
+            parts = inside.withColumn("start", F.col("start") + F.sum("b").over(W.partitionBy("parent").orderBy("bin")) - F.col("b"))
+        parts = materialize(parts.select("bin", "b", "start"), "bins")
+        heavy = (F.col("b") > shard_bytes // 4) & F.lit(length < DIGITS)
+        done = parts.filter(~heavy).select("bin", "start")
+        bins = done if bins is None else bins.unionAll(done)
+        live = parts.filter(heavy).select(F.col("bin").alias("parent"), "start")
+        if length == DIGITS or live.isEmpty():
+            break
+    starts = bins.groupBy(F.floor(F.col("start") / shard_bytes).alias("shard")).agg(F.min("bin").alias("bin"))
+    return sorted(starts.toArrow().column("bin").to_pylist())
 
 
 def escaped(url: str | None) -> str:
@@ -113,21 +156,22 @@ class Roller:
 def write_archives(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write ``pages`` under ``folder`` and return the manifest, a row per file."""
     own, twins = plan_records(pages)
-    low, high, total = own.agg(F.min("page_id"), F.max("page_id"), F.sum("bytes")).first()
-    wide = max(1, -(-((high or 0) - (low or 0) + 1) // BINS))
-    place = F.when(F.col("page_id").isNull(), F.lit(-1)).otherwise(F.floor((F.col("page_id") - F.lit(low or 0)) / wide)).cast("int")
-    bins = own.groupBy(place.alias("bin")).agg(F.sum(F.col("bytes") + 600).alias("b"))  # at most BINS + 1 rows
-    before = F.sum("b").over(W.orderBy("bin")) - F.col("b")
-    shards = bins.select("bin", F.floor(before / shard_bytes).cast("int").alias("shard"))
+    total = own.agg(F.coalesce(F.sum(F.col("bytes") + HEADERS), F.lit(0))).first()[0]
+    starts = shard_starts(own, max(shard_bytes, total // MOST_SHARDS))
+
+    @F.pandas_udf("int")
+    def shard_of(place: pd.Series) -> pd.Series:
+        return pd.Series(np.maximum(np.searchsorted(np.array(starts), place.to_numpy(dtype=str), side="right") - 1, 0))
+
     store, base = fs.FileSystem.from_uri(folder)
     store.create_dir(base, recursive=True)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("bin", place).join(F.broadcast(shards), "bin")
-    notes = twins.withColumn("bin", place).join(F.broadcast(shards), "bin").select("shard", "page_id", F.lit(0).alias("kind"), F.col("digest").alias("url"), F.lit(b"").alias("payload"), "first")
-    rows = rows.select("shard", "page_id", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("first"))
-    parts = max(1, -(-(total or 0) // shard_bytes)) * 2
+    payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.cast("binary").alias("payload"), order_key(F.col("page_id").cast("long"), F.xxhash64(payload)).alias("place"))
+    notes = twins.select(shard_of("place").alias("shard"), "page_id", F.lit(0).alias("kind"), F.col("digest").alias("url"), F.lit(b"").alias("payload"), "first")
+    rows = rows.select(shard_of("place").alias("shard"), "page_id", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("first"))
+    parts = len(starts)
     # A page's note comes just before it, so the payloads are shuffled once and not joined.
-    dealt = rows.unionByName(notes).repartition(min(parts, 10_000), "shard").sortWithinPartitions("shard", "page_id", "kind", "url")
+    dealt = rows.unionByName(notes).repartition(parts, "shard").sortWithinPartitions("shard", "page_id", "kind", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -212,7 +256,7 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in part], k) for n, k in kinds.items()], list(kinds))
 
     n = max(1, manifest.count())
-    return manifest.select("path").repartition(min(n, 10_000), "path").mapInArrow(each, schema)
+    return manifest.select("path").repartition(min(n, MOST_SHARDS), "path").mapInArrow(each, schema)
 
 
 def warc(pages: DataFrame) -> DataFrame:
