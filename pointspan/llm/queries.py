@@ -14,7 +14,7 @@ from pointspan.llm.sentencepiece_codec import sentencepiece
 from pointspan.llm.sharding import sharding
 from pointspan.llm.simhash import simhash
 from pointspan.llm.toxicity import toxicity
-from pointspan.llm.url_filter import page_labels, url_filter
+from pointspan.llm.url_filter import learning, page_labels, url_filter
 from pointspan.llm.warc import warc
 from pointspan.shared import table
 
@@ -41,7 +41,8 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return url_filter(pages, page_labels(pages, table(spark, sf_dir, "labels")))
+    known = page_labels(pages, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return url_filter(pages, learning(known))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
