@@ -500,19 +500,72 @@ def test_url_rules(spark, none):
     pages = spark.createDataFrame([(i, u, "<p>", "clash") for i, u in enumerate(URLS)] + [(None, "http://a.com/", None, None)] * 2, "page_id long, url string, html string, rule string")
     found = url_filter.url_filter(pages, pages.select("url", F.lit(None).cast("boolean").alias("bad"))).collect()
     assert len(found) == len(URLS) + 2
+    assert url_filter.url_filter(pages.limit(0), pages.select("url", F.lit(True).alias("bad")).limit(0)).count() == 0
     for r in found:
         if r.page_id is not None:
             host, path, rule, says = brute_rule(URLS[r.page_id])
             assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, says or "allow")
 
 
+def mined(labelled):
+    return url_filter.mine(labelled.select(url_filter.tokens(F.col("url"), url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))).alias("tokens"), "bad"))
+
+
 def test_url_mining(spark):
     rows = [(i, f"http://{'spam' if i % 5 == 0 else 'site'}{i % 3}.org/{'win' if i % 5 == 0 else 'news'}/{i}") for i in range(600)]
     pages = spark.createDataFrame(rows, "page_id long, url string")
     labelled = pages.filter("page_id < 300").withColumn("bad", F.col("page_id") % 5 == 0)
     found = url_filter.url_filter(pages, labelled).collect()
     assert all((r.verdict == "block") == (r.page_id % 5 == 0) for r in found)
-    assert all(len(a) < 3 for a in url_filter.mine(labelled.select(url_filter.tokens(F.col("url"), url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))).alias("tokens"), "bad")))
+    assert all(len(a) < 3 for a in mined(labelled))
+
+
+def test_url_mining_against_brute_force(spark):
+    """Rules are the minimal sets among all subsets of tokens with support, confidence and significance."""
+    from itertools import combinations
+
+    local = np.random.default_rng(8)
+    kinds = ["k1", "k2", "k3", "k4"]
+    rows = []
+    for _ in range(800):
+        own = sorted({str(x) for x in local.choice(kinds, 3)})
+        rows.append((own, bool({"k1", "k2"} <= set(own) and local.random() < 0.9)))
+    df = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
+    n, base = len(rows), sum(b for _, b in rows) / len(rows)
+    least = max(url_filter.LEAST_ROWS, math.ceil(url_filter.SUPPORT * n))
+    counts = defaultdict(lambda: [0, 0])
+    for own, bad in rows:
+        for size in range(1, 5):
+            for part in combinations(own, size):
+                counts[frozenset(part)][0] += 1
+                counts[frozenset(part)][1] += bad
+    frequent = {s: c for s, c in counts.items() if c[0] >= least}
+    sets = len(frequent) + sum(c[1] >= least for c in frequent.values()) + 1
+    rules = []
+    for s, (have, hits) in frequent.items():
+        p = min(hits / have, 1 - 1e-9)
+        if hits >= least and p >= url_filter.CONFIDENCE and p > base and have * (p * math.log(p / base) + (1 - p) * math.log((1 - p) / (1 - base))) > math.log(sets / url_filter.CHANCE):
+            rules.append(s)
+    minimal = {s for s in rules if not any(o < s for o in rules)}
+    assert minimal == {frozenset({"k1", "k2"})} == set(url_filter.mine(df))
+
+
+def test_url_tokens_cover_the_url(spark):
+    url = "https://m.casino-win.example.com/a/b/c.html?page=2&ref=x;z=1#top"
+    df = spark.createDataFrame([(url,), (None,), ("http://a.b/" + "y" * 500,)], "url string")
+    own = [r.t for r in df.select(url_filter.tokens(F.col("url"), url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))).alias("t")).collect()]
+    want = {"end=com", "end=m.casino-win.example.com", "label=casino-win", "word=casino", "word=win", "dir=a", "dir=b", "dir=c.html", "key=page", "key=ref", "key=z", "ext=html", "fragment", "scheme=https", "depth=3"}
+    assert want <= set(own[0]) and own[1] == [] and any(t.startswith("dir=") and len(t) == 4 + 64 for t in own[2])
+
+
+def test_page_labels(spark):
+    """A page's text names its document, through tags and entities; words of hosts count as well."""
+    docs = spark.createDataFrame([(1, "Bad text & more.\nSecond line"), (2, "A good text here"), (None, "no id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    page = lambda body: f"<html><nav>x</nav><article><h1>t</h1><p>{body}</p></article></html>"
+    rows = [(10, "http://a.com/1", page("Bad text &amp; more.<br>Second <b>line</b>")), (11, "http://a.com/2", page("A good text here")), (12, "http://free-casino.com/", page("unknown")), (13, None, None)]
+    found = {r.page_id: r.bad for r in url_filter.page_labels(spark.createDataFrame(rows, "page_id long, url string, html string"), docs, labels).collect()}
+    assert found == {10: True, 11: False, 12: True, 13: False}
 
 
 # WARC
@@ -541,6 +594,21 @@ def test_warc_round_trip(spark, tmp_path):
     assert same("a") == same("b")
 
 
+def test_warc_shards_are_even(spark, tmp_path):
+    """An outlier among the ids, and many rows without an id, make no large shard."""
+    texts = [f"<p>{i}</p>" * 300 for i in range(300)]
+    rows = [(i, "u", t) for i, t in enumerate(texts)] + [(1 << 60, "u", "far"), (-(1 << 62), "u", "low")] + [(None, "u", t + "x") for t in texts]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    manifest = warc.write_archives(pages, f"file://{tmp_path}/a", shard_bytes=50_000, file_bytes=1 << 30)
+    sizes = Counter()
+    own = warc.plan_records(pages)[0]
+    starts = warc.shard_starts(own, 50_000)
+    for r in own.collect():
+        sizes[np.searchsorted(np.array(starts), r.place, side="right")] += r.bytes + warc.HEADERS
+    assert len(sizes) > 20 and max(sizes.values()) <= 2 * 50_000
+    assert manifest.agg(F.sum("records")).first()[0] == len(rows)
+
+
 def test_warc_edges(spark):
     pages = spark.createDataFrame([(None, None, None), (None, "u", "x" * 200), (1, "u", "x" * 200), (1, "u", "x" * 200), (2, "u", "x" * 200)], "page_id long, url string, html string")
     found = sorted((r.page_id or 0, r.record_type, r.refers_to or 0) for r in warc.warc(pages).collect())
@@ -556,6 +624,21 @@ def test_empty_tables(spark, none, labels, run):
     assert run(none, labels).count() == 0
 
 
+@pytest.mark.parametrize("n, most", [(3000, 0.5), (16_000, 0.32)])
+def test_ann_looks_at_a_part(n, most):
+    """Recall of 0.9 on independent vectors, and the share of vectors looked at."""
+    local = np.random.default_rng(6)
+    v = local.standard_normal((n, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    looked, hit = [], 0
+    queries = np.arange(0, n, n // 60)
+    for i, found in ann_forest.Forest(v).candidates(v[queries]):
+        scores = v @ v[queries[i]]
+        hit += len(set(np.argsort(-scores)[1:21]) & set(found.tolist()))
+        looked.append(len(found) / n)
+    assert len(looked) == len(queries) and hit / (20 * len(queries)) >= 0.88 and np.mean(looked) < most
+
+
 def test_empty_vectors(spark):
     assert ann_forest.ann_forest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
