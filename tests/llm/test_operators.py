@@ -643,6 +643,117 @@ def test_empty_vectors(spark):
     assert ann_forest.ann_forest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+ODD = "doc_id long, text string, lang string, source string, _id long, _copies long, _row string, row string, whole string, _key double, rank long, s string, epochs long"
+
+
+@pytest.fixture(scope="module")
+def odd_docs(spark):
+    """Nulls in every column, repeated ids with other texts, repeated rows, and columns named like the stages' own."""
+    own = ("clash",)
+    long_, other = sentence(3000), sentence(80)
+    rows = [(1, sentence(90)), (1, sentence(95)), (2, other), (2, other), (None, sentence(70)), (None, sentence(75)), (None, None), (3, None), (4, ""), (5, long_), (6, other)]
+    full = [(i, t, None if n % 3 == 0 else "en", None if n % 4 == 0 else "a", 7, 8, *own * 3, 0.5, 9, *own, 10) for n, (i, t) in enumerate(rows)]
+    return spark.createDataFrame(full, ODD)
+
+
+def test_stages_lose_no_row(spark, odd_docs, labels, none):
+    """keep_good drops what fails the base test, keep_clean nothing here, keep_one one of each group only, mixed what isn't drawn."""
+    rows = odd_docs.collect()
+    good = quality_rules.keep_good(odd_docs, labels)
+    assert good.columns == odd_docs.columns
+    assert Counter(good.collect()) == Counter(r for r in rows if len(words(r.text)) >= 50 and 2 * base(r.text)[4] <= len(words(r.text)))
+    clean = toxicity.keep_clean(odd_docs, labels.limit(0))
+    assert Counter(clean.collect()) == Counter(rows)
+    one = simhash.keep_one(odd_docs).collect()
+    prints = [brute_print(r.text) for r in rows]
+    groups = brute_groups(dict(enumerate(prints)))
+    assert len(one) == len(set(groups.values())) and not Counter(one) - Counter(rows)
+    kept = Counter(brute_print(r.text) for r in one)
+    for g in set(groups.values()):
+        members = [i for i in groups if groups[i] == g]
+        assert sum(kept[p] for p in {prints[i] for i in members}) == 1
+        least = min((rows[i].doc_id is None, rows[i].doc_id or 0) for i in members)
+        assert any((r.doc_id is None, r.doc_id or 0) == least and brute_print(r.text) in {prints[i] for i in members} for r in one)
+    mix = mixing.mixed(odd_docs)
+    assert mix.columns == odd_docs.columns
+    plan = Counter()
+    for r in mixing.mixing(odd_docs).collect():
+        plan[r.doc_id, r.size] += r.copies
+    assert Counter((r.doc_id, len(words(r.text))) for r in mix.collect()) == +plan
+    codes = sentencepiece_codec.sentencepiece(odd_docs, keep=("source",))
+    assert codes.count() == len(rows) and all(r.round_trip for r in codes.collect())
+    empty = odd_docs.limit(0)
+    for stage in (quality_rules.keep_good(empty, labels), toxicity.keep_clean(empty, labels), simhash.keep_one(empty), mixing.mixed(empty), sentencepiece_codec.sentencepiece(empty)):
+        assert stage.count() == 0
+
+
+def test_null_ids_are_held_out(spark, odd_docs, labels):
+    assert all(r.held_out for r in toxicity.toxicity(odd_docs, labels).collect() if r.doc_id is None)
+
+
+def test_long_texts_are_cut(monkeypatch):
+    """A text cut before single spaces has the ids of the whole one, and words beyond the memo too."""
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    with open(sentencepiece_codec.MODEL, "rb") as f:
+        codec = sentencepiece_codec.Codec(f.read())
+    text = sentence(4000) + "  two spaces " + sentence(500)
+    monkeypatch.setattr(sentencepiece_codec, "MEMO_BYTES", 2000)
+    monkeypatch.setattr(sentencepiece_codec, "LONG", 1000)
+    codec.forget()
+    assert list(codec.encode([text, "a b", text])) == [own.encode(text), own.encode("a b"), own.encode(text)]
+    assert len(codec.known) < 20 and len(codec.parts(text)) > 5
+    codec.plain = False
+    codec.first = codec._build(True)
+    assert next(iter(codec.encode([text]))) == own.encode(text)
+
+
+def brute_cutoffs(rows, alpha, delta):
+    """The path of cutoffs and its test for one pooled stratum, in plain Python; ``rows``: features by rule, good, lays."""
+    names = [name for name, _, _ in quality_rules.RULES]
+    grids = {name: quality_rules.cutoffs(top) for name, _, top in quality_rules.RULES}
+    first = lambda r, name: next((i for i, c in enumerate(grids[name]) if r[0][name] >= c), quality_rules.STEPS)
+    lay = [r for r in rows if r[1] and r[2]]
+    deepest = {}
+    for name in names:
+        for share in (0.0, *quality_rules.SHARES):
+            lost = [sum(first(r, name) <= i for r in lay) for i in range(quality_rules.STEPS)]
+            deepest[name, share] = sum(c <= share * len(lay) for c in lost) - 1
+    path = [{n: max(-1, deepest[n, 0.0] - m) for n in names} for m in range(quality_rules.MARGIN, -1, -1)] + [{n: deepest[n, s] for n in names} for s in quality_rules.SHARES]
+    hit = lambda r, step: any(first(r, n) <= step[n] for n in names)
+    tested = [r for r in rows if r[1] and not r[2]]
+    passed = []
+    for step in path:
+        k = sum(hit(r, step) for r in tested)
+        tail = sum(math.comb(len(tested), i) * alpha**i * (1 - alpha) ** (len(tested) - i) for i in range(k + 1))
+        if k > len(tested) * alpha or tail > delta:
+            break
+        passed.append((sum(hit(r, step) for r in rows if not r[1]), step))
+    best = max(b for b, _ in passed)
+    step = next(s for b, s in passed if b == best)
+    return {n: grids[n][step[n]] if step[n] >= 0 else None for n in names}
+
+
+def test_cutoffs_against_brute_force(spark):
+    local = np.random.default_rng(11)
+    rows = []
+    for i in range(1200):
+        bad = i % 8 == 0
+        n = int(local.integers(60, 120))
+        rows.append((i, None, n, n * int(local.integers(3, 9)), int(local.integers(0, 4)) + (n // 3) * bad, 0, 0, 10, int(local.integers(0, 2)), int(local.integers(0, 30)), False, not bad))
+    labelled = spark.createDataFrame(rows, "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_bangs long, n_capitals long, base_failed boolean, good boolean")
+    lays = {r.doc_id: r.x for r in labelled.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(quality_rules.FOLDS)) == 0).alias("x")).collect()}
+    names = labelled.columns
+    value = lambda r, expr: (lambda o, u: r[names.index(o)] / r[names.index(u)] if r[names.index(u)] else 0.0)(*expr.split(" / "))
+    plain = [({name: value(r, expr) for name, expr, _ in quality_rules.RULES}, r[-1], lays[r[0]]) for r in rows]
+    want = brute_cutoffs(plain, quality_rules.ALPHA, quality_rules.DELTA)
+    found = quality_rules.choose_cutoffs(labelled).collect()
+    assert len(found) == 1 and found[0].key == "*"
+    for name in want:
+        assert found[0][name] == pytest.approx(want[name]) if want[name] is not None else found[0][name] is None
+
+
 def test_pipeline(spark, sf):
     sys.path.insert(0, __file__.rsplit("/tests/", 1)[0])
     import corpus_pipeline
