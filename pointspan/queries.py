@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pointspan import oracle as sql
 from pointspan.functions import geometry as g
+from pointspan.functions.profiles import log_profile
 from pointspan.operators import joins, knn, navigate, search
 from pointspan.plans.index import Index, all_cube_boxes, build_index, cube_of
 from pointspan.shared import materialize, table
@@ -274,6 +275,17 @@ def radial_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groupBy(shell).agg(F.count("*").alias("n"), F.round(F.when(F.count("*") > 10, F.avg("y")).otherwise(0.0), 6).alias("mean_y"))
 
 
+@query(
+    "radial_profile_log",
+    f"WITH p AS (SELECT log10(sqrt({CENTER})) AS l, y FROM ({sql.EV}) WHERE {sql.in_sphere(SPH_ALL)} AND {CENTER} > 0), e AS (SELECT min(l) AS lo, (max(l) - min(l)) / 15 AS w FROM p), b AS (SELECT CAST(floor((l - lo) / w) AS BIGINT) + 1 AS bin, y FROM p, e) SELECT i AS bin, round(pow(10, lo + w * i + w / 2), 6) AS center, count(y) AS n, round(CASE WHEN count(y) > 100 THEN avg(y) ELSE 0 END, 6) AS mean FROM (SELECT unnest(range(15)) AS i) AS r CROSS JOIN e LEFT JOIN b ON b.bin = r.i GROUP BY i, lo, w",
+)
+def radial_profile_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean of a field in 15 shells of equal width in log10 of the radius."""
+    near = search.subset(events(spark, sf_dir), SPH_ALL, "all").df
+    out = log_profile(near, g.distance(*xyz(), *map(F.lit, C)), F.col("y"))
+    return out.select("bin", F.round("center", 6).alias("center"), "n", F.round("mean", 6).alias("mean"))
+
+
 query("type_counts", f"SELECT ptype AS particle_type, count(*) AS n FROM ({sql.EV}) GROUP BY 1")(lambda s, d: events(s, d).counts())
 query("type_switch", f"SELECT id FROM ({sql.LI}) WHERE ptype = 'R'")(lambda s, d: ids(lineitems(s, d).of_type("R").df))
 query("sliced_scan", f"SELECT id FROM ({sql.EV}) WHERE id BETWEEN 100 AND 199 OR id BETWEEN 500 AND 549")(lambda s, d: ids(events(s, d).slices([(100, 200), (500, 550)]).df))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pointspan import cli, queries
 from pointspan.functions import geometry as g
+from pointspan.functions.profiles import log_profile
 from pointspan.operators import joins, knn, navigate, search
 from pointspan.operators.kdtree import PointTree
 from pointspan.plans.index import build_index
@@ -243,6 +244,18 @@ def test_command_line(spark, frame, tmp_path):
         cli.main([f"{tmp_path}/raw.parquet", f"{tmp_path}/out"], spark)
 
 
+def test_log_profile(spark):
+    values = np.random.default_rng(3).random(3000) * 50 + 0.01
+    df = spark.createDataFrame([(float(v), float(i % 7)) for i, v in enumerate(values)] + [(0.0, 1.0)], "r double, t double")
+    found = {r.bin: r for r in log_profile(df, F.col("r"), F.col("t"), least=20).collect()}
+    logs, t = np.log10(values), np.arange(3000) % 7
+    at = np.digitize(logs, np.histogram_bin_edges(logs, bins=15))
+    for i in range(15):
+        own = t[at == i]
+        assert found[i].n == len(own) and found[i].mean == pytest.approx(own.mean() if len(own) > 20 else 0.0)
+    assert sorted(found) == list(range(15)) and log_profile(df.limit(0), F.col("r"), F.col("t")).count() == 15
+
+
 def test_command_line_options(tmp_path):
     (tmp_path / "some.txt").write_text("-p\n100\n-n\n5\n")
     args = cli.parse(["-t", "0", "Gas", "-x", "1.5", "-n", "4", "-c", f"{tmp_path}/some.txt", "--", "snap", "out"])
