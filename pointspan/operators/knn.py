@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pointspan.functions.geometry import AXES, Box, distance2, finite
-from pointspan.operators.joins import CELL, around, d2, sided_grid
+from pointspan.operators.joins import CELL, around, sided_grid
 from pointspan.plans.index import Index, node_box
 from pointspan.shared import materialize
 from pointspan.sources.points import ID
@@ -50,8 +50,12 @@ def nearest(points: DataFrame, center, k: int = 1, upper: float | None = None, p
     return top.withColumn("rank", F.row_number().over(W.orderBy("dist", ID))).select("rank", ID, "dist")
 
 
-def nearest_batch(queries: DataFrame, points: DataFrame, k: int, upper: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-    """``qid, rank, id, dist`` of each query's (``qid, x, y, z``) k nearest points; ``by``: per value of these columns of the points."""
+def nearest_batch(queries: DataFrame, points: DataFrame, k: int, upper: float | None = None, by: tuple[str, ...] = (), p: float = 2) -> DataFrame:
+    """``qid, rank, id, dist`` of each query's (``qid, x, y, z``) k nearest points; ``by``: per value of these columns of the points.
+
+    ``p`` is 1, 2 or infinity: in each of these measures, what lies beyond the
+    27 cells is farther than a cell's width.
+    """
     if k < 1:
         raise ValueError("k must be positive")
     points = points.filter(finite())
@@ -67,13 +71,14 @@ def nearest_batch(queries: DataFrame, points: DataFrame, k: int, upper: float |
     # A cell of the first round has some k points if they are spread evenly.
     size = max(math.prod(used) ** (1 / len(used)) * (2.0 * k * groups / s["n"]) ** (1 / len(used)), span * 2.0**-30)
     waiting = queries.filter(finite()).select(F.col("qid").alias(ID), *AXES)
+    dist = metric(*[F.col(f"{a}_a") - F.col(f"{a}_b") for a in AXES], p)
     rank = F.row_number().over(W.partitionBy("id_a", *[f"{c}_b" for c in by]).orderBy("dist", "id_b"))
     parts = []
     while True:
         size = min(size, span)
         last = size >= span or (upper is not None and size >= upper)
         near = around(sided_grid(waiting, size * (1 + 1e-9), "a", ())).join(sided_grid(points, size * (1 + 1e-9), "b", by), list(CELL))
-        top = near.withColumn("dist", F.sqrt(d2())).withColumn("rank", rank).filter(F.col("rank") <= k)
+        top = near.withColumn("dist", dist).withColumn("rank", rank).filter(F.col("rank") <= k)
         top = top.select("id_a", *[f"{c}_b" for c in by], "rank", "id_b", "dist")
         if last:
             parts.append(top)

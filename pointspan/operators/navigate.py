@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointspan.functions.geometry import AXES, box_contains
+from pointspan.functions.geometry import AXES, box_contains, finite
 from pointspan.operators.knn import nearest_one
-from pointspan.plans.index import Index, node_box
+from pointspan.plans.index import Index, cube_of, node_box, tag_of, with_cells
 from pointspan.sources.points import ID
 
 
@@ -45,9 +45,18 @@ def containing(index: Index, *points) -> DataFrame:
 
 
 def locate(index: Index, queries: DataFrame) -> DataFrame:
-    """``qid, cube_id, leaf_tag``: the leaf of each query (``qid, cube_id, path``) whose path the caller made."""
-    cut = queries.withColumn("tag", F.explode(F.transform(F.sequence(F.lit(1), F.length("path")), lambda n: F.substring("path", F.lit(1), n))))
-    return cut.join(index.leaves.select("cube_id", "tag"), ["cube_id", "tag"]).select("qid", "cube_id", F.col("tag").alias("leaf_tag"))
+    """``qid, cube_id, leaf_tag``: the leaf around each query (``qid, x, y, z``, and ``cube_id`` where it isn't to follow from the place).
+
+    Queries that aren't numbers, or whose part of the space has no node, have no row.
+    """
+    at = queries.filter(finite())
+    if "cube_id" not in queries.columns:
+        at = at.withColumn("cube_id", cube_of(index.box, index.side, *[F.col(a) for a in AXES]))
+    deepest = index.leaves.agg(F.max("level")).first()[0] or 1
+    paths = with_cells(at.select("qid", "cube_id", *AXES), index.box, index.side, deepest - 1).select("qid", "cube_id", tag_of(f"{deepest - 1}").alias("path"))
+    cut = paths.withColumn("leaf_tag", F.explode(F.transform(F.sequence(F.lit(1), F.length("path")), lambda n: F.substring("path", F.lit(1), n))))
+    leaves = index.leaves.select(*index.by, "cube_id", F.col("tag").alias("leaf_tag"))
+    return cut.join(leaves, ["cube_id", "leaf_tag"]).select("qid", *index.by, "cube_id", "leaf_tag")
 
 
 def nearest_in_node(index: Index, tag: str, cube_id: int, center) -> DataFrame:

@@ -10,15 +10,21 @@ A node's tag is "0" for the root, then a digit 1 to 8 for each step down, so
 the order of tags is the order of a walk.  A node is a leaf if it has at most
 ``threshold`` rows or its level (the root's is 1) reaches ``depth``.
 
-Rows are counted by their path first, and only that aggregate is rolled up to
-prefixes.  Paths are made ``STEP`` levels at a time; only rows in leaves that
-are still too full go on, so deep paths cost nothing where few rows need them.
+A row's place at some level is three whole numbers, its cells along the axes.
+Rows are counted by cell at level ``STEP + 1`` in the first pass, and that
+aggregate is rolled up to all levels above; only rows of nodes that are still
+too full take part in a pass ``STEP`` levels deeper.  Then every row meets its
+leaf in the narrow table of counted cells, and one range partitioning by leaf
+and id puts all rows in their final order, so neither a full leaf nor a full
+cube is the work of one task.
 """
 
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +34,9 @@ from pointspan.functions.geometry import AXES, Box, BoxColumns, finite
 from pointspan.shared import materialize
 from pointspan.sources.points import ID, TYPE, PointFrame
 
-THRESHOLD, MOST_DEPTH, STEP = 400, 21, 5
+THRESHOLD, MOST_DEPTH, STEP, BLOCK = 400, 52, 7, 5
+CELL = ("_cx", "_cy", "_cz")
+EPS = 2.0**-52
 BOX = ("ox", "oy", "oz", "odx", "ody", "odz")
 
 
@@ -73,24 +81,40 @@ def child_box(box: dict[str, Column], digit: Column) -> dict[str, Column]:
     return {k: out[k] for k in BOX}
 
 
-def descend(df: DataFrame, levels: int) -> DataFrame:
-    """Move every row's box ``levels`` steps down, with the digits added to ``path``.
+def halved(v: str, corner: str, size: str, levels: int) -> str:
+    """SQL of the cell along an axis by halving ``levels`` times, with the sums rounded as those of the nodes' boxes."""
+    middle = "acc.o + acc.d / 2"
+    step = f"struct(if({v} >= {middle}, {middle}, acc.o) AS o, acc.d / 2 AS d, acc.c * 2 + if({v} >= {middle}, 1L, 0L) AS c)"
+    return f"aggregate(sequence(1, {levels}), struct({corner} AS o, {size} AS d, 0L AS c), (acc, k) -> {step}, acc -> acc.c)"
 
-    One fold rather than a column for each level: chains of columns that are
-    used several times make plans that grow with a power of the levels.
+
+def with_cells(df: DataFrame, box: Box, side: int, levels: int) -> DataFrame:
+    """Add every row's cells ``levels`` below its cube's root.
+
+    A division gives the cell, but for points so near to a border that
+    rounding could count: these are halved down step by step.
     """
-    start = F.struct(*[F.col(k).alias(k) for k in BOX], F.col("path").alias("path"))
+    if not levels:
+        return df.withColumns({c: F.lit(0).cast("long") for c in CELL})
+    last, out = 2**levels - 1, []
+    boxed = df.select("*", *[c.alias(k) for k, c in cube_box(box, side, F.col("cube_id")).items()])
+    scaled = boxed.selectExpr("*", *[f"({a} - o{a}) / od{a} * {2.0**levels!r}D AS {c}_at" for c, a in zip(CELL, AXES, strict=True)])
+    for c, a, p, s in zip(CELL, AXES, box.values()[:3], box.values()[3:], strict=True):
+        slack = (levels + 8) * EPS * 2.0**levels * max(1.0, side * max(abs(p), abs(p + s)) / s)
+        plain = f"least(greatest(CAST(floor({c}_at) AS BIGINT), 0L), {last}L)"
+        out.append(f"if(abs({c}_at - rint({c}_at)) <= {slack!r}D, {halved(a, f'o{a}', f'od{a}', levels)}, {plain}) AS {c}")
+    return scaled.selectExpr(*[f"`{c}`" for c in df.columns], *out)
+
+
+def up(levels: str | int) -> dict[str, Column]:
+    """The cells some levels above; ``levels`` is a number or SQL."""
+    return {c: F.expr(f"shiftright({c}, {levels})") for c in CELL}
 
-    def step(acc: Column, _: Column) -> Column:
-        half = {a: acc[f"od{a}"] / 2 for a in AXES}
-        right = {a: F.col(a) >= acc[f"o{a}"] + half[a] for a in AXES}
-        digit = 1 + right["x"].cast("int") + 2 * right["y"].cast("int") + 4 * right["z"].cast("int")
-        corner = {a: F.when(right[a], acc[f"o{a}"] + half[a]).otherwise(acc[f"o{a}"]) for a in AXES}
-        return F.struct(*[corner[a].alias(f"o{a}") for a in AXES], *[half[a].alias(f"od{a}") for a in AXES], F.concat(acc["path"], digit.cast("string")).alias("path"))
 
-    down = F.aggregate(F.sequence(F.lit(1), F.lit(levels)), start, step)
-    rest = [c for c in df.columns if c not in (*BOX, "path")]
-    return df.select(*rest, down.alias("_down")).select(*rest, *[F.col("_down")[k].alias(k) for k in (*BOX, "path")])
+def tag_of(levels: str) -> Column:
+    """The tag of the cells ``levels`` (SQL) below a root."""
+    bits = [f"{2**i} * (shiftright({c}, {levels} - k) & 1)" for i, c in enumerate(CELL)]
+    return F.expr(f"concat('0', array_join(transform(if({levels} > 0, sequence(1, {levels}), array()), k -> CAST(1 + {' + '.join(bits)} AS STRING)), ''))")
 
 
 @dataclass(frozen=True)
@@ -132,85 +156,98 @@ def build_index(frame: PointFrame, side: int | None = None, threshold: int = THR
     cube = F.col(cube_column) if cube_column else cube_of(box, side, *[F.col(a) for a in AXES])
     rows = rows.withColumn("cube_id", cube.cast("int"))
     key = [*by, "cube_id"]
-    open_ = rows.withColumns({**cube_box(box, side, F.col("cube_id")), "path": F.lit("0")})
-    nodes = rows.groupBy(*key).agg(F.count("*").alias("n")).withColumns({"tag": F.lit("0"), "level": F.lit(1), **cube_box(box, side, F.col("cube_id"))})
-    nodes = nodes.withColumn("is_leaf", (F.col("n") <= threshold) | F.lit(depth <= 1)).select(*key, "tag", "level", "n", "is_leaf", *BOX)
-    tables, placed, level = [materialize(nodes, "nodes")], [], 1
-    full = tables[0].filter("NOT is_leaf").select(*key, F.col("tag").alias("path"))
+    tables, counts, level, full = [], [], 0, None
     while True:
-        # Rows of open prefixes go on; all others have found their leaf.
-        marked = open_.join(full.withColumn("_open", F.lit(True)), [*key, "path"], "left")
-        placed.append(marked.filter("_open IS NULL").select(*rows.columns, F.col("path").alias("_path")))
-        if level >= depth:
-            break
-        steps = min(STEP, depth - level)
-        moved = descend(marked.filter("_open").drop("_open"), steps)
-        counted = moved.groupBy(*key, "path").agg(F.count("*").alias("n"))
-        new = prefix_nodes(counted, key, level, steps, threshold, depth)
-        roots = full.join(tables[-1].select(*key, F.col("tag").alias("path"), *BOX), [*key, "path"]) if level > 1 else tables[0].filter("NOT is_leaf").select(*key, F.col("tag").alias("path"), *BOX)
-        new = materialize(with_boxes(new, roots, key, level), "nodes")
+        deep = min(max(level, 1) + STEP, depth)
+        placed = with_cells(rows.select(*key, *AXES), box, side, deep - 1)
+        if full is not None:
+            # Only rows of nodes that are too full go on.
+            above = placed.withColumns({f"{c}_up": shifted for c, shifted in up(deep - level).items()})
+            same = reduce(lambda a, b: a & b, [above[k].eqNullSafe(full[k]) for k in key] + [above[f"{c}_up"] == full[c] for c in CELL])
+            placed = above.join(full, same, "left_semi").drop(*[f"{c}_up" for c in CELL])
+        counted = materialize(placed.groupBy(*key, *CELL).agg(F.count("*").alias("n")), "cells")
+        new = materialize(prefix_nodes(counted, key, level, deep, threshold, depth), "nodes")
         tables.append(new)
-        level += steps
-        full = new.filter((F.col("level") == level) & ~F.col("is_leaf")).select(*key, F.col("tag").alias("path"))
-        open_ = moved
+        counts.append((level, deep, counted))
+        full = new.filter((F.col("level") == deep) & ~F.col("is_leaf")).select(*key, *CELL)
+        level = deep
         if level >= depth or full.isEmpty():
-            placed.append(moved.select(*rows.columns, F.col("path").alias("_path")))
             break
-    nodes = tables[0]
-    for t in tables[1:]:
-        nodes = nodes.unionByName(t)
-    points = placed[0]
-    for p in placed[1:]:
-        points = points.unionByName(p)
-    nodes, cubes = offsets(nodes, key, by, box, side)
-    nodes = materialize(nodes, "nodes")
-    points = with_leaf(points, nodes, key, rows.columns)
-    over = nodes.filter(F.col("is_leaf") & (F.col("n") > threshold)).limit(1).count()
+    nodes = reduce(DataFrame.unionByName, tables)
+    table, cubes = offsets(with_boxes(nodes, box, side), key, by, box, side)
+    table = materialize(table, "nodes")
+    points = in_order(placed_rows(rows, nodes, counts, key, box, side), key, by)
+    over = table.filter(F.col("is_leaf") & (F.col("n") > threshold)).limit(1).count()
     if over:
         warnings.warn(f"leaves at level {depth} hold more than {threshold} points; there may be many equal ones", stacklevel=2)
-    return Index(points, nodes, cubes, box, side, threshold, depth, by)
+    return Index(points.select(*rows.columns, "leaf_tag", "pos"), table, cubes, box, side, threshold, depth, by)
 
 
-def prefix_nodes(counted: DataFrame, key: list[str], level: int, steps: int, threshold: int, depth: int) -> DataFrame:
-    """Roll the paths' counts up to every prefix longer than ``level``; a prefix is a node if its parent is too full."""
-    prefixes = counted.withColumn("_l", F.explode(F.sequence(F.lit(level + 1), F.lit(level + steps)))).withColumn("tag", F.substring("path", F.lit(1), F.col("_l")))
-    sums = prefixes.groupBy(*key, "tag").agg(F.sum("n").alias("n"))
-    sums = sums.withColumn("level", F.length("tag"))
-    siblings = W.partitionBy(*key, F.expr("substring(tag, 1, level - 1)"))
+def prefix_nodes(counted: DataFrame, key: list[str], level: int, deep: int, threshold: int, depth: int) -> DataFrame:
+    """Roll the counts of level ``deep`` up to every level under ``level``; a cell is a node if its parent is too full."""
+    every = counted.withColumn("level", F.explode(F.sequence(F.lit(level + 1), F.lit(deep))))
+    sums = every.withColumns(up(f"{deep} - level")).groupBy(*key, "level", *CELL).agg(F.sum("n").alias("n"))
+    siblings = W.partitionBy(*key, "level", *up(1).values())
     # The children's sum is the parent's count, as every row of the parent is in one of them.
-    return sums.withColumn("_parent", F.sum("n").over(siblings)).filter(F.col("_parent") > threshold).drop("_parent").withColumn("is_leaf", (F.col("n") <= threshold) | (F.col("level") >= depth))
+    parent = sums.withColumn("_parent", F.sum("n").over(siblings)).filter((F.col("_parent") > threshold) | (F.col("level") == 1)).drop("_parent")
+    return parent.withColumns({"is_leaf": (F.col("n") <= threshold) | (F.col("level") >= depth), "tag": tag_of("(level - 1)")})
 
 
-def with_boxes(nodes: DataFrame, roots: DataFrame, key: list[str], level: int) -> DataFrame:
-    """Boxes from those of the prefixes of length ``level``, digit by digit."""
-    at = nodes.withColumn("path", F.expr(f"substring(tag, 1, {level})")).join(roots, [*key, "path"])
+def with_boxes(nodes: DataFrame, box: Box, side: int) -> DataFrame:
+    """The nodes' boxes from those of their cubes, digit by digit."""
+    at = nodes.withColumns(cube_box(box, side, F.col("cube_id")))
     start = F.struct(*[F.col(k).alias(k) for k in BOX])
-    digits = F.transform(F.filter(F.split(F.expr(f"substring(tag, {level + 1})"), ""), lambda c: c != ""), lambda c: c.cast("int"))
-    box = F.aggregate(digits, start, lambda acc, d: F.struct(*[c.alias(k) for k, c in child_box({k: acc[k] for k in BOX}, d).items()]))
-    return at.withColumn("_box", box).select(*key, "tag", "level", "n", "is_leaf", *[F.col("_box")[k].alias(k) for k in BOX])
+    digits = F.transform(F.filter(F.split(F.expr("substring(tag, 2)"), ""), lambda c: c != ""), lambda c: c.cast("int"))
+    down = F.aggregate(digits, start, lambda acc, d: F.struct(*[c.alias(k) for k, c in child_box({k: acc[k] for k in BOX}, d).items()]))
+    rest = [c for c in nodes.columns if c not in CELL]
+    return at.withColumn("_box", down).select(*rest, *[F.col("_box")[k].alias(k) for k in BOX])
 
 
 def offsets(nodes: DataFrame, key: list[str], by: tuple[str, ...], box: Box, side: int) -> tuple[DataFrame, DataFrame]:
-    """``start`` and ``stop`` of every node and cube in the order of cube and tag."""
+    """``start`` and ``stop`` of every node and cube in the order of cube and tag.
+
+    A node starts after the rows of all leaves whose tags come before its own.
+    These are added up within blocks of tags that begin alike, then over blocks.
+    """
     sums = nodes.filter("level = 1").select(*key, "n")
     order = W.partitionBy(*by).orderBy("cube_id") if by else W.orderBy("cube_id")  # side**3 + 1 rows at most
     cubes = sums.withColumn("start", F.sum("n").over(order) - F.col("n")).withColumn("stop", F.col("start") + F.col("n")).withColumns(cube_box(box, side, F.col("cube_id")))
     cubes = materialize(cubes, "cubes")
-    leaves = nodes.filter("is_leaf").select(*key, "tag", "n").join(cubes.select(*key, F.col("start").alias("_cube")), key)
-    leaves = leaves.withColumn("start", F.col("_cube") + F.sum("n").over(W.partitionBy(*key).orderBy("tag")) - F.col("n"))
-    # An inner node starts with its first leaf: the first leaf at or after it in the order of tags.
-    all_ = nodes.join(leaves.select(*key, "tag", F.col("start").alias("_own")), [*key, "tag"], "left")
-    after = W.partitionBy(*key).orderBy("tag").rowsBetween(0, W.unboundedFollowing)
-    return all_.withColumn("start", F.first("_own", ignorenulls=True).over(after)).withColumn("stop", F.col("start") + F.col("n")).drop("_own"), cubes
-
-
-def with_leaf(points: DataFrame, nodes: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
-    """``leaf_tag`` and ``pos`` of every row: the leaf is found by the path's prefixes in the narrow table of paths."""
-    paths = points.select(*key, "_path").distinct()
-    cut = paths.withColumn("_l", F.explode(F.sequence(F.lit(1), F.length("_path")))).withColumn("tag", F.substring("_path", F.lit(1), F.col("_l")))
-    found = cut.join(nodes.filter("is_leaf").select(*key, "tag", "start"), [*key, "tag"]).select(*key, "_path", F.col("tag").alias("leaf_tag"), F.col("start").alias("_start"))
-    place = F.row_number().over(W.partitionBy(*key, "leaf_tag").orderBy(ID)) - 1
-    return points.join(found, [*key, "_path"]).withColumn("pos", (F.col("_start") + place).cast("long")).select(*columns, "leaf_tag", "pos")
+    own = F.when(F.col("is_leaf"), F.col("n")).otherwise(0)
+    blocked = nodes.withColumns({"_block": F.substring("tag", 1, BLOCK), "_own": own})
+    blocks = blocked.groupBy(*key, "_block").agg(F.sum("_own").alias("_sum"))
+    before = F.sum("_sum").over(W.partitionBy(*key).orderBy("_block")) - F.col("_sum")  # some 8**(BLOCK - 1) rows a cube
+    firsts = blocks.join(cubes.select(*key, F.col("start").alias("_cube")), key).select(*key, "_block", (F.col("_cube") + before).alias("_first"))
+    within = F.sum("_own").over(W.partitionBy(*key, "_block").orderBy("tag")) - F.col("_own")
+    started = blocked.withColumn("_within", within).join(firsts, [*key, "_block"]).withColumn("start", F.col("_first") + F.col("_within"))
+    return started.select(*key, "tag", "level", "n", "is_leaf", *BOX, "start", (F.col("start") + F.col("n")).alias("stop")), cubes
+
+
+def placed_rows(rows: DataFrame, nodes: DataFrame, counts: Iterable[tuple[int, int, DataFrame]], key: list[str], box: Box, side: int) -> DataFrame:
+    """The rows with ``leaf_tag``: each pass's counted cells name the leaves found in it, and a row is in one of those only."""
+    leaves = nodes.filter("is_leaf").select(*key, "level", *CELL, F.col("tag").alias("leaf_tag"))
+    parts = []
+    for level, deep, counted in counts:
+        cells = counted.withColumns({f"{c}_own": F.col(c) for c in CELL}).withColumn("level", F.explode(F.sequence(F.lit(level + 1), F.lit(deep))))
+        found = cells.withColumns(up(f"{deep} - level")).join(leaves, [*key, "level", *CELL])
+        named = found.select(*key, *[F.col(f"{c}_own").alias(c) for c in CELL], "leaf_tag")
+        parts.append(with_cells(rows, box, side, deep - 1).join(named, [*key, *CELL]).select(*rows.columns, "leaf_tag"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def in_order(points: DataFrame, key: list[str], by: tuple[str, ...]) -> DataFrame:
+    """Write the rows in the order of leaf and id, and add ``pos``, their place in it.
+
+    A range partition may hold many leaves or a part of one.  A row's place is
+    its place in its partition and the sizes of the partitions before.
+    """
+    order = [*key, "leaf_tag", ID]
+    stored = materialize(points.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()), "points")
+    part, row = F.shiftright("_row", 33), F.col("_row").bitwiseAND(F.lit(2**33 - 1))
+    sizes = stored.groupBy(*by, part.alias("_part")).agg(F.count("*").alias("_n"), F.min(row).alias("_least"))  # a row for each partition and type
+    before = F.sum("_n").over(W.partitionBy(*by).orderBy("_part")) - F.col("_n") if by else F.sum("_n").over(W.orderBy("_part")) - F.col("_n")
+    starts = materialize(sizes.select(*by, "_part", (before - F.col("_least")).alias("_start")), "starts")
+    return stored.withColumn("_part", part).join(F.broadcast(starts), [*by, "_part"]).withColumn("pos", F.col("_start") + row)
 
 
 def node_box() -> BoxColumns:

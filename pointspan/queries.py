@@ -17,7 +17,7 @@ from pointspan.functions import geometry as g
 from pointspan.functions.profiles import log_profile
 from pointspan.operators import joins, knn, navigate, search
 from pointspan.plans.index import Index, all_cube_boxes, build_index, cube_of
-from pointspan.shared import materialize, table
+from pointspan.shared import table
 from pointspan.sources.points import ID, TYPE, PointFrame, auto_box, inverse
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,8 +168,7 @@ def make(frame: PointFrame, threshold: int, box: g.Box | None = None, by_type: b
     spark = frame.df.sparkSession
     key = (spark.sparkContext.applicationId, tuple(frame.df.inputFiles()), frame.name, tuple(map(str, frame.df.schema)), threshold, box, by_type)
     if key not in BUILT:
-        built = build_index(frame, SIDE, threshold, DEPTH, box, by_type)
-        BUILT[key] = replace(built, points=materialize(built.points, "indexed"))
+        BUILT[key] = build_index(frame, SIDE, threshold, DEPTH, box, by_type)
     return BUILT[key]
 
 
@@ -191,6 +190,9 @@ query("leaves_by_level", sql.index(sql.EV, GRID, 50, "SELECT level, count(*) AS
 query("node_by_tag", sql.index(sql.EV, GRID, 50, "SELECT cube_id, n, start, stop FROM nodes WHERE tag = '03'"))(lambda s, d: navigate.by_tag(make(events(s, d), 50, GRID), "03").select(F.col("cube_id").cast("long"), "n", "start", "stop"))
 query("node_children", sql.index(sql.EV, GRID, 50, "SELECT tag, n FROM nodes WHERE cube_id = 13 AND length(tag) = 2"))(lambda s, d: navigate.children(make(events(s, d), 50, GRID), "0", 13).select("tag", "n"))
 query("containing_node", sql.index(sql.EV, GRID, 50, "SELECT cube_id, tag, n FROM (SELECT *, row_number() OVER (PARTITION BY cube_id ORDER BY level DESC, tag DESC) AS r FROM nodes WHERE 170.5 BETWEEN ox AND ox + odx AND 60.25 BETWEEN oy AND oy + ody AND 250.5 BETWEEN oz AND oz + odz) WHERE r = 1"))(lambda s, d: navigate.containing(make(events(s, d), 50, GRID), (170.5, 60.25, 250.5)).select(F.col("cube_id").cast("long"), "tag", "n"))
+query("locate_points", sql.index(sql.EV, GRID, 50, "SELECT id AS qid, cube_id, leaf_tag FROM placed WHERE id % 50 = 0"))(
+    lambda s, d: navigate.locate(make(events(s, d), 50, GRID), asked(s, d)).select("qid", F.col("cube_id").cast("long"), "leaf_tag")
+)
 query("index_by_type", sql.index(sql.EV, GRID, 50, "SELECT ptype AS particle_type, cube_id, tag, n, start FROM nodes", True))(lambda s, d: make(events(s, d), 50, GRID, True).nodes.select(TYPE, F.col("cube_id").cast("long"), "tag", "n", "start"))
 query("sort_index", sql.index(sql.EV, GRID, 50, "SELECT pos, id FROM placed"))(lambda s, d: make(events(s, d), 50, GRID).points.select("pos", ID))
 query("reorder_by_x", f"SELECT id, CAST(row_number() OVER (ORDER BY x, id) - 1 AS BIGINT) AS pos FROM ({sql.EV})")(lambda s, d: events(s, d).reorder("x", ID).select(ID, F.col("pos").cast("long")))
@@ -235,6 +237,9 @@ query("knn_upper_bound", f"SELECT row_number() OVER (ORDER BY dist, id) AS rank,
 query("knn_manhattan", f"SELECT row_number() OVER (ORDER BY dist, id) AS rank, id, dist FROM (SELECT id, abs({C[0]!r} - x) + abs({C[1]!r} - y) + abs({C[2]!r} - z) AS dist FROM ({sql.EV})) ORDER BY dist, id LIMIT 10")(lambda s, d: knn.nearest(events(s, d).df, C, 10, p=1))
 BATCH = f"SELECT qid, rank, id, dist FROM (SELECT *, row_number() OVER (PARTITION BY qid{{by}} ORDER BY dist, id) AS rank FROM (SELECT q.id AS qid, p.id, p.ptype, sqrt({sql.pair_d2('q', 'p')}) AS dist FROM ({sql.EV}) AS q, ({sql.EV}) AS p WHERE q.id % 50 = 0))"
 query("knn_batch", BATCH.format(by="") + " WHERE rank <= 10")(lambda s, d: knn.nearest_batch(asked(s, d), events(s, d).df, 10))
+DIFF = [f"abs(q.{a} - p.{a})" for a in g.AXES]
+for name, p, measure in (("manhattan", 1, " + ".join(DIFF)), ("maximum", knn.FAR, f"greatest({', '.join(DIFF)})")):
+    query(f"knn_batch_{name}", BATCH.format(by="").replace(f"sqrt({sql.pair_d2('q', 'p')})", measure) + " WHERE rank <= 4")(lambda s, d, p=p: knn.nearest_batch(asked(s, d), events(s, d).df, 4, p=p))
 query("knn_kth_ranks", BATCH.format(by="") + " WHERE rank IN (2, 5)")(lambda s, d: knn.ranks(knn.nearest_batch(asked(s, d), events(s, d).df, 5), asked(s, d), (2, 5), 0))
 query("knn_by_type", BATCH.format(by=", ptype").replace("SELECT qid,", "SELECT ptype AS particle_type, qid,") + " WHERE rank <= 3")(lambda s, d: knn.nearest_batch(asked(s, d), events(s, d).df, 3, by=(TYPE,)))
 query("nearest_one", f"SELECT id, sqrt({CENTER}) AS dist FROM ({sql.EV}) ORDER BY {CENTER}, id LIMIT 1")(lambda s, d: knn.nearest_one(events(s, d).df, C))

@@ -129,6 +129,51 @@ def test_index_rules(frame, index):
             assert leaf[f"o{a}"] <= p[a] <= leaf[f"o{a}"] + leaf[f"od{a}"]
 
 
+def halving(rows, box, threshold, depth):
+    """Nodes (tag, n) and the leaf of each row, by halving one box after the other."""
+    nodes, leaf = [], {}
+
+    def go(tag, o, d, own):
+        nodes.append((tag, len(own)))
+        if len(own) <= threshold or len(tag) >= depth:
+            leaf.update(dict.fromkeys((i for i, *_ in own), tag))
+            return
+        middle = [p + s / 2 for p, s in zip(o, d, strict=True)]
+        parts = {}
+        for row in own:
+            parts.setdefault(1 + sum((row[a + 1] >= middle[a]) << a for a in range(3)), []).append(row)
+        for digit in sorted(parts):
+            go(tag + str(digit), [middle[a] if digit - 1 >> a & 1 else o[a] for a in range(3)], [s / 2 for s in d], parts[digit])
+
+    go("0", box[:3], box[3:], rows)
+    return sorted(nodes), leaf
+
+
+def test_deep_index(spark):
+    """Points closer than 2**-30 of the box, equal points, points on borders: as by halving, at the depth that the box allows."""
+    box = g.Box(0.1, -7.3, 2.0, 1.1, 3.7, 0.9)
+    near = [(0.7, -5.0 + k * 1e-9, 2.5) for k in range(12)]
+    borders = [(0.1 + 1.1 * i / 16, -7.3 + 3.7 * j / 8, 2.0 + 0.9 * ((i * j) % 5) / 4) for i in range(17) for j in range(9)]
+    rows = [(i, *map(float, p)) for i, p in enumerate(near + borders + [(0.3, -6.0, 2.1)] * 5)]
+    df = spark.createDataFrame([(i, "A", *p) for i, *p in rows], "id long, particle_type string, x double, y double, z double")
+    built = build_index(PointFrame(df), 1, 2, 40, box)
+    inside = [r for r in rows if all(p <= v <= p + s for v, p, s in zip(r[1:], box.values()[:3], box.values()[3:], strict=True))]
+    outside = [r for r in rows if r not in inside]
+    at = [(0, inside)] + [(1, outside)] * bool(outside)
+    want, leaf = [], {}
+    for cube, own in at:
+        nodes, leaves = halving(own, box.values(), 2, 40)
+        want += [(cube, *n) for n in nodes]
+        leaf |= {i: (cube, tag) for i, tag in leaves.items()}
+    assert sorted((n.cube_id, n.tag, n.n) for n in built.nodes.collect()) == sorted(want)
+    placed = {p.id: (p.cube_id, p.leaf_tag) for p in built.points.collect()}
+    assert placed == leaf and max(len(t) for _, t in leaf.values()) == 40
+    order = sorted(leaf, key=lambda i: (*leaf[i], i))
+    assert [p.id for p in built.points.orderBy("pos").collect()] == order
+    found = navigate.locate(built, df.select(F.col("id").alias("qid"), "x", "y", "z")).collect()
+    assert {r.qid: (r.cube_id, r.leaf_tag) for r in found} == leaf
+
+
 @pytest.mark.parametrize("shape", [BALL, CUBE])
 def test_leaf_search(index, frame, shape):
     strict, loose = set(ids(search.inside(frame.df, shape))), ids(search.in_leaves(index, shape))
@@ -169,6 +214,18 @@ def test_knn(spark, frame):
     assert [r.id for r in knn.nearest(frame.df, (50, 50, 50), 5).collect()] == [i for i, _ in brute_knn(np.array([50, 50, 50]), 5)]
 
 
+@pytest.mark.parametrize("p", [1, math.inf])
+def test_knn_measures(spark, frame, p):
+    asked = [(0, 50.0, 50.0, 50.0), (1, 10.0, 20.0, 30.0), (2, -900.0, 0.0, 4000.0)]
+    found = knn.nearest_batch(spark.createDataFrame(asked, "qid long, x double, y double, z double"), frame.df, 7, p=p).collect()
+    for qid, *q in asked:
+        far = np.abs(XYZ - np.array(q))
+        dist = far.sum(axis=1) if p == 1 else far.max(axis=1)
+        want = sorted((v, i) for i, v in enumerate(dist))[:7]
+        got = sorted((r["rank"], r.id, r.dist) for r in found if r.qid == qid)
+        assert [(i, v) for _, i, v in got] == [(i, pytest.approx(v)) for v, i in want]
+
+
 def grid(nx, y0, ny):
     return np.array([(x, y) for x in range(nx) for y in range(y0, y0 + ny)], dtype=float)
 
