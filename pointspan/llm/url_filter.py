@@ -6,14 +6,23 @@ set of tokens that cover all of it: scheme, every label and word of its host,
 every ending of its host, every path segment and its depth, extension, every
 query key, fragment; values of over ``LONG`` characters are hashed.  A set of
 tokens blocks if, among labelled urls, it has support and confidence, and if
-chance can't explain its bad urls at any of the sets seen.  Rules that contain
-another one are dropped.  Rules are held in an inverted index by their least
-frequent token; an url looks up its own tokens only.
-
-FP-growth has no bound on the length of sets, and a row has 2**n subsets of n
-tokens.  So a row's mined tokens are the ``SLOTS`` frequent ones that are bad
-most often; at most ``2**SLOTS / support`` sets are frequent, whatever the
-input.  Matching looks at all tokens of an url.
+chance can't explain its bad urls at any of the sets of its size.  Rules that
+contain another one are dropped.  Rules are held in an inverted index by their
+least frequent token; an url looks up its own tokens only.
+
+All frequent tokens of all rows are mined, and sets of any size.  FP-growth runs
+by conditional rows: after single tokens and pairs, the rows with a token, cut
+to the tokens before it, go to one task, which extends sets depth first.  Only
+minimal sets are asked for, so a branch ends, without loss, where its sets can't
+block or can't be minimal: too few bad urls are left; a subset blocks; or a
+token takes away no good url, so that the set without it has no worse figures.
+Rows of many independent tokens can still have exponentially many sets; these
+take time, and a token's distinct rows the memory of one task, but nothing is
+cut.  Sets of k tokens must stand against chance at all sets of k tokens that
+can be frequent, with ``CHANCE / 2**k`` for each k; their number is bounded from
+above, as frequent sets can't be counted without listing them.  Matching looks
+at all tokens of an url; tokens that the same labelled urls have are one there,
+as each of them makes the same rules.
 
 Labels of pages (:func:`page_labels`) come from the given labels of documents
 whose text the page carries, and from a lexicon of words in hosts.
@@ -28,10 +37,10 @@ from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,11 +49,10 @@ from pointspan.shared import materialize
 #: Host, path prefix and verdict.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 SUPPORT, LEAST_ROWS, CONFIDENCE, CHANCE = 0.002, 5, 0.6, 0.01
-SLOTS, LONG = 12, 60
+LONG = 60
 FOLDS, HELD = 5, 0
 #: Fixed value: words that mark hosts of gambling, pills, adult pages, link farms and advertisements.
 LEXICON = ("casino", "poker", "bets", "pills", "viagra", "adult", "porn", "xxx", "escort", "spam", "ads", "loans")
-BAD = "label=bad"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -81,45 +89,142 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(host != "", F.array_distinct(F.array_compact(every))).otherwise(F.array().cast("array<string>"))
 
 
+def limits(kinds: int, sizes: dict[int, int], least: int, longest: int) -> np.ndarray:
+    """What the evidence of a set of k tokens must exceed, by k; ``sizes`` counts rows by their number of frequent tokens.
+
+    Each frequent set is in ``least`` rows, and a row has C(size, k) sets of k tokens.
+    """
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, max(kinds, 1) + 1)))])
+    found = np.full(longest + 2, -np.inf)
+    for k in range(1, longest + 2):
+        choose = lambda of: logs[of] - logs[k] - logs[of - k]  # noqa: B023, E731
+        rows = [math.log(count) + choose(size) for size, count in sizes.items() if size >= k]
+        sets = min(choose(kinds), np.logaddexp.reduce(rows) - math.log(least)) if rows else -np.inf
+        found[k] = max(sets, 0.0) + k * math.log(2) - math.log(CHANCE)
+    return np.maximum.accumulate(found)
+
+
+def evidence(hits: np.ndarray, misses: np.ndarray, base: float) -> np.ndarray:
+    """Chernoff's exponent of so many bad urls among so many, at a share of ``base``; grows with hits, falls with misses."""
+    n = np.maximum(hits + misses, 1)
+    term = lambda part, share: part * np.log(np.maximum(part, 1) / n / share)
+    return np.where(hits > base * n, term(hits, base) + term(misses, 1 - base), 0.0)
+
+
+def grow(misses: np.ndarray, near: dict[int, np.ndarray], bars: np.ndarray, least: int, confidence: float, base: float) -> Callable[[tuple, pa.Table], pa.Table]:
+    """A function that finds the rules of three tokens and more whose last token is the group's.
+
+    ``misses`` has those of single tokens, ``near`` the tokens before each that make an open pair with it.
+    """
+
+    def each(key: tuple, group: pa.Table) -> pa.Table:
+        token = key[0].as_py()
+        prefix = group.column("prefix").combine_chunks()
+        flat, row = prefix.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(prefix)), prefix.value_lengths().to_numpy(zero_copy_only=False))
+        good, bad = group.column("misses").to_numpy().astype(float), group.column("hits").to_numpy().astype(float)
+        found: list[tuple[int, ...]] = []
+        masks: list[int] = []
+        stack = [((token,), math.inf, misses, flat, row)]
+        while stack:
+            path, own, without, flat, row = stack.pop()
+            # The rows of the path, cut to tokens that can follow its last.
+            has, follows = np.full(len(bad), len(path) == 1), np.zeros(len(misses), bool)
+            has[row[flat == path[-1]]] = True
+            follows[near.get(path[-1], [])] = True
+            of = sum(1 << t for t in path)
+            rests = [rest for rest in (mask & ~of for mask in masks) if rest & (rest - 1) == 0]
+            follows[[rest.bit_length() - 1 for rest in rests]] = False
+            part = has[row] & follows[flat]
+            flat, row = flat[part], row[part]
+            hits, missed = np.bincount(flat, bad[row], len(misses)), np.bincount(flat, good[row], len(misses))
+            # A token must take good urls from the set, and the set's last token from the set without that.
+            open_ = (hits >= least) & (missed < own) & (missed < without)
+            if len(path) > 1:  # pairs are known
+                sure = open_ & (hits >= confidence * (hits + missed)) & (evidence(hits, missed, base) > bars[len(path) + 1])
+                found.extend((*path, int(t)) for t in np.flatnonzero(sure))
+                masks.extend(of | 1 << int(t) for t in np.flatnonzero(sure))
+                open_ &= ~sure
+            open_ &= (missed > 0) & (-hits * math.log(base) > bars[len(path) + 1])
+            stay = open_[flat]
+            flat, row = flat[stay], row[stay]
+            # The smallest first, so that all subsets with the group's token come before a set.
+            stack.extend(((*path, int(t)), missed[t], missed, flat, row) for t in np.flatnonzero(open_)[:0:-1])
+        return pa.table({"rule": pa.array(found, pa.list_(pa.int32()))})
+
+    return each
+
+
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[frozenset[str]]:
-    """Minimal token sets that mark bad urls; ``labelled`` has ``tokens`` and ``bad``."""
+    """Minimal token sets that mark bad urls, of the tokens that stand for others; ``labelled`` has ``tokens`` and ``bad``."""
+    return mine_with_equals(labelled, support, confidence)[0]
+
+
+def mine_with_equals(labelled: DataFrame, support: float, confidence: float) -> tuple[list[frozenset[str]], dict[str, str]]:
+    """Minimal token sets, and for each token that the same labelled urls have as one of theirs, that one."""
     labelled = materialize(labelled.filter("bad IS NOT NULL").withColumn("row", F.monotonically_increasing_id()), "labelled")
+    spark = labelled.sparkSession
     n, bad = labelled.agg(F.count("*"), F.coalesce(F.sum(F.col("bad").cast("int")), F.lit(0))).first()
-    least, base = max(LEAST_ROWS, math.ceil(support * n)), bad / max(n, 1)
-    if n < LEAST_ROWS or not 0 < base < 1:
-        return []
+    least, base = max(LEAST_ROWS, math.ceil(support * n)), min(max(bad / max(n, 1), 1e-6), 1 - 1e-6)
+    if n < LEAST_ROWS or not 0 < bad < n:
+        return [], {}
+    hits, misses = F.sum(F.col("bad").cast("int")).alias("hits"), F.sum((~F.col("bad")).cast("int")).alias("misses")
     single = labelled.select("row", "bad", F.explode("tokens").alias("token"))
     extent = F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("extent")
-    often = single.groupBy("token").agg(F.count("*").alias("n"), F.avg(F.col("bad").cast("double")).alias("share"), extent).filter(F.col("n") >= least)
-    # Of tokens that the same urls have, the shortest stands for all, as their rules would be the same.
-    often = often.groupBy("extent", "n", "share").agg(F.min(F.struct(F.length("token").alias("l"), "token"))["token"].alias("token")).drop("extent")
-    ranked = single.join(often, "token").groupBy("row", "bad").agg(F.sort_array(F.collect_list(F.struct((-F.col("share")).alias("s"), "n", "token"))).alias("all"))
-    kept = F.transform(F.slice("all", 1, SLOTS), lambda x: x["token"])
-    items = ranked.select(F.when(F.col("bad"), F.concat(kept, F.array(F.lit(BAD)))).otherwise(kept).alias("items"))
-    sets = materialize(FPGrowth(itemsCol="items", minSupport=least / n).fit(items).freqItemsets, "itemsets")
-    marked = F.array_contains("items", BAD)
-    of = sets.filter(~marked).select(F.array_sort("items").alias("antecedent"), F.col("freq").alias("n"))
-    hits = sets.filter(marked & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", BAD)).alias("antecedent"), F.col("freq").alias("hits"))
-    rules = of.join(hits, "antecedent").withColumn("confidence", F.col("hits") / F.col("n")).filter(F.col("confidence") >= confidence)
-    p, known = F.least(F.col("confidence"), F.lit(1 - 1e-9)), min(max(base, 1e-6), 1 - 1e-6)
-    # Chernoff's bound on the chance of so many bad urls among n, at any of the sets.
-    odd = F.col("n") * (p * F.log(p / known) + (1 - p) * F.log((1 - p) / (1 - known)))
-    sure = rules.filter((p > known) & (odd > math.log(max(1, sets.count()) / CHANCE)))
-    found = sorted({frozenset(r["antecedent"]) for r in sure.select("antecedent").collect()}, key=lambda s: (len(s), sorted(s)))  # bounded as the docstring says
+    often = single.groupBy("token").agg(hits, misses, extent).filter(F.col("hits") + F.col("misses") >= least)
+    # Of tokens that the same labelled urls have, the shortest stands for all, as their rules have the same figures.
+    often = often.groupBy("extent", "hits", "misses").agg(F.min(F.struct(F.length("token").alias("l"), "token"))["token"].alias("token"), F.collect_list("token").alias("equals"))
+    # At most 1 / support tokens for each token of a mean row; the most frequent first.
+    names = sorted(often.select("token", "equals", "hits", "misses").collect(), key=lambda r: (-r["hits"] - r["misses"], r["token"]))
+    if not names:
+        return [], {}
+    of_hits, of_misses = (np.array([r[c] for r in names], float) for c in ("hits", "misses"))
+    bar = limits(len(names), {len(names): n}, least, 1)[1]
+    able = (of_hits >= least) & (-of_hits * math.log(base) > bar)
+    sure = able & (of_hits >= confidence * (of_hits + of_misses)) & (evidence(of_hits, of_misses, base) > bar)
+    open_ = able & ~sure & (of_misses > 0) & (of_misses < n - bad)
+    found = [frozenset([names[i]["token"]]) for i in np.flatnonzero(sure)]
+
+    ids = spark.createDataFrame([(r["token"], i, bool(open_[i])) for i, r in enumerate(names)], "token string, id int, open boolean")
+    own = single.join(F.broadcast(ids), "token").groupBy("row", "bad").agg(F.count("*").alias("size"), F.sort_array(F.collect_list(F.when(F.col("open"), F.col("id")))).alias("items"))
+    rows = materialize(own.groupBy("size", "items").agg(hits, misses), "items")
+    sizes = rows.groupBy("size").agg(F.sum(F.col("hits") + F.col("misses")).alias("n"), F.max(F.size("items")).alias("longest")).collect()
+    longest = max(r["longest"] for r in sizes)
+    if longest > 1:
+        bars = limits(len(names), {r["size"]: r["n"] for r in sizes}, least, longest)
+        parts = rows.select("items", "hits", "misses", F.posexplode("items").alias("at", "token")).filter("at > 0").withColumn("prefix", F.slice("items", F.lit(1), F.col("at")))
+        pairs = parts.select("token", F.explode("prefix").alias("other"), "hits", "misses").groupBy("token", "other").agg(F.sum("hits").alias("hits"), F.sum("misses").alias("misses"))
+        near: dict[int, list[int]] = defaultdict(list)
+        # At most 1 / support pairs for each pair of a mean row.
+        for t, other, pair_hits, pair_misses in pairs.filter(F.col("hits") >= least).collect():
+            if pair_misses < min(of_misses[t], of_misses[other]):
+                if pair_hits >= confidence * (pair_hits + pair_misses) and evidence(pair_hits, pair_misses, base) > bars[2]:
+                    found.append(frozenset([names[t]["token"], names[other]["token"]]))
+                elif pair_misses > 0 and -pair_hits * math.log(base) > bars[2]:
+                    near[t].append(other)
+        wide = [t for t, others in near.items() if len(others) > 1]
+        if wide and longest > 2:
+            parts = parts.join(F.broadcast(spark.createDataFrame([(t,) for t in wide], "token int")), "token")
+            parts = parts.groupBy("token", "prefix").agg(F.sum("hits").alias("hits"), F.sum("misses").alias("misses"))
+            tasks = min(len(wide), 4 * spark.sparkContext.defaultParallelism)
+            each = grow(of_misses, {t: np.array(others) for t, others in near.items()}, bars, least, confidence, base)
+            grown = parts.repartition(tasks, "token").groupBy("token").applyInArrow(each, "rule array<int>")
+            found += [frozenset(names[i]["token"] for i in r["rule"]) for r in grown.collect()]
+
     kept_rules: list[frozenset[str]] = []
     index: dict[str, list[frozenset[str]]] = defaultdict(list)
-    for rule in found:
+    for rule in sorted(set(found), key=lambda s: (len(s), sorted(s))):
         if not any(other <= rule for token in rule for other in index[token]):
             kept_rules.append(rule)
             index[min(rule)].append(rule)
-    return kept_rules
+    used = {t for rule in kept_rules for t in rule}
+    return kept_rules, {t: r["token"] for r in names if r["token"] in used for t in r["equals"]}
 
 
 def url_filter(pages: DataFrame, labelled: DataFrame, rules=RULES) -> DataFrame:
     """Per page ``page_id, host, path, rule, verdict``; ``labelled`` has ``url`` and the boolean ``bad``."""
     parsed = lambda df: df.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     seen = parsed(labelled.select(F.col("url").cast("string"), "bad").filter("bad IS NOT NULL")).select(tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"), "bad")
-    mined = mine(seen)
+    mined, stands = mine_with_equals(seen, SUPPORT, CONFIDENCE)
     often = Counter(t for rule in mined for t in rule)
     index: dict[str, list[frozenset[str]]] = defaultdict(list)
     for rule in mined:
@@ -129,8 +234,8 @@ def url_filter(pages: DataFrame, labelled: DataFrame, rules=RULES) -> DataFrame:
         for batch in batches:
             hits = []
             for own in batch.column("tokens").to_pylist():
-                have = set(own)
-                hits.append(any(rule <= have for t in own for rule in index.get(t, ())))
+                have = {stands[t] for t in own if t in stands}
+                hits.append(any(rule <= have for t in have for rule in index.get(t, ())))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(hits, pa.bool_()), batch.column("says")], ["page_id", "host", "path", "rule", "hit", "says"])
 
     rule, says = fixed_rule(F.col("host"), F.col("path"), rules)

@@ -550,6 +550,53 @@ def test_url_mining_against_brute_force(spark):
     assert minimal == {frozenset({"k1", "k2"})} == set(url_filter.mine(df))
 
 
+def test_url_with_many_tokens(spark):
+    """Two keys mark bad urls, beside 13 others that are bad more often than each of the two."""
+    others = lambda i: "".join(f"&k{j}" for j in range(14) if j != i // 6 % 14)
+    rows = [(i, "http://a.org/?" + ("a&b" + others(i), "a", "a", "b", "b", "c" + others(i))[i % 6], i % 6 == 0) for i in range(840)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+    found = url_filter.url_filter(pages, pages.filter("page_id < 420")).collect()
+    assert all((r.verdict == "block") == (r.page_id % 6 == 0) for r in found)
+    assert frozenset({"key=a", "key=b"}) in mined(pages)
+
+
+def test_url_with_one_of_equal_tokens(spark):
+    """Keys that the same labelled urls have make the same rules, so each of them blocks."""
+    labelled = spark.createDataFrame([(f"http://a.org/?{'long&s&c' if i % 4 == 0 else 'c'}", i % 4 == 0) for i in range(200)], "url string, bad boolean")
+    pages = spark.createDataFrame([(0, "http://b.org/?long"), (1, "http://b.org/?s"), (2, "http://b.org/?c"), (3, "http://b.org/")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in url_filter.url_filter(pages, labelled).collect()} == {0: "block", 1: "block", 2: "allow", 3: "allow"}
+
+
+@pytest.mark.parametrize("seed", [1, 6])
+def test_url_mining_of_many_tokens_against_brute_force(spark, seed):
+    """All subsets of 14 tokens, with rows that have most of them; rules have up to seven."""
+    local = np.random.default_rng(seed)
+    kinds, n = 14, 1500
+    has = local.random((n, kinds)) < local.uniform(0.5, 0.97, kinds)
+    has[:, 5] &= has[:, 3]
+    bad = local.random(n) < 0.03
+    for size in (2, 3, 4):
+        bad |= has[:, local.choice(kinds, size, replace=False)].all(1) & (local.random(n) < 0.95) & ~has[:, local.integers(kinds)]
+        bad |= has[:, local.choice(kinds, 3, replace=False)].all(1) & (local.random(n) < 0.3)
+    df = spark.createDataFrame([([f"t{j}" for j in np.flatnonzero(own)], bool(b)) for own, b in zip(has, bad)], "tokens array<string>, bad boolean")
+    least, base = max(url_filter.LEAST_ROWS, math.ceil(url_filter.SUPPORT * n)), bad.mean()
+    sets = [min(math.comb(kinds, k), sum(math.comb(int(c), k) for c in has.sum(1)) / least) for k in range(kinds + 1)]
+    bars = np.maximum.accumulate([math.log(max(m, 1) * 2**k / url_filter.CHANCE) for k, m in enumerate(sets)])
+    minimal = []
+    for part in sorted(range(1, 1 << kinds), key=int.bit_count):
+        own = [j for j in range(kinds) if part >> j & 1]
+        if any(part & rule == rule for rule in minimal):
+            continue
+        rows = has[:, own].all(1)
+        have, hits = int(rows.sum()), int((rows & bad).sum())
+        if hits >= least and hits >= url_filter.CONFIDENCE * have and hits > base * have:
+            odd = hits * math.log(hits / have / base) + (0 if hits == have else (have - hits) * math.log((1 - hits / have) / (1 - base)))
+            if odd > bars[len(own)]:
+                minimal.append(part)
+    want = {frozenset(f"t{j}" for j in range(kinds) if rule >> j & 1) for rule in minimal}
+    assert max(map(len, want)) > 3 and set(url_filter.mine(df)) == want
+
+
 def test_url_tokens_cover_the_url(spark):
     url = "https://m.casino-win.example.com/a/b/c.html?page=2&ref=x;z=1#top"
     df = spark.createDataFrame([(url,), (None,), ("http://a.b/" + "y" * 500,)], "url string")
