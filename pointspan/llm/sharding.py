@@ -3,7 +3,9 @@
 The rows of a node are cut at a weighted quantile along its widest dimension,
 in proportion to the shards that either side gets, until every leaf is one
 shard.  All nodes of a level are handled together by a few aggregations over
-a narrow table; what comes to the driver is a row per node.
+a narrow table; what comes to the driver is a row per node.  That table is
+written anew with each level's nodes, and numbers of nodes go to the executors
+as literal arrays, so all plans are short, alike and without broadcasts.
 
 Rows are ordered by the chosen dimension, then by the text's CRC32, then by a
 hash of the id.  A cut is searched digit by digit over that order: a
@@ -42,7 +44,7 @@ def sharding(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     thin = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (bytes_ + 16).alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"),
         log(bytes_).alias("size_class"), log((bytes_ - chars) * 4096 / F.greatest(bytes_, F.lit(1))).alias("length_class"),
-        F.shiftrightunsigned(F.xxhash64("doc_id"), 42).alias("low"),
+        F.shiftrightunsigned(F.xxhash64("doc_id"), 42).alias("low"), F.lit(1).cast("long").alias("node"),
     )
     thin = materialize(thin, "shards")
     n, total = thin.agg(F.count("*"), F.sum("size")).first()
@@ -58,29 +60,33 @@ def sharding(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def kd_tree(thin: DataFrame, shards: int, total: int) -> DataFrame:
-    """The rows with their ``shard``.  The tree has ``shards`` leaves, so every table made here has that many rows at most."""
+    """The rows, whose ``node`` is 1 (the root), with their ``shard``.  The tree has ``shards`` leaves, so nodes are numbered below 4 * ``shards``."""
     slack = SLACK * total / shards
     places = {1: (0, shards)}  # node -> its first shard and how many; the children of k are 2k and 2k + 1
-    at = thin.withColumn("node", F.lit(1).cast("long"))
+    at = thin
     while todo := {k: v for k, v in places.items() if v[1] > 1}:
         ranges = at.groupBy("node").agg(F.sum("size").alias("bytes"), *[f(name).alias(f"{f.__name__}_{name}") for name, _ in DIMS for f in (F.min, F.max)])
         found = {}
-        for r in ranges.filter(F.col("node").isin(list(todo))).collect():
-            spread = [(r[f"max_{name}"] - r[f"min_{name}"]) / 2**bits for name, bits in DIMS]
-            width = todo[r["node"]][1]
-            found[r["node"]] = (spread.index(max(spread)), r["bytes"] * (width // 2) / width)
+        for r in ranges.collect():
+            if r["node"] in todo:
+                spread = [(r[f"max_{name}"] - r[f"min_{name}"]) / 2**bits for name, bits in DIMS]
+                width = todo[r["node"]][1]
+                found[r["node"]] = (spread.index(max(spread)), r["bytes"] * (width // 2) / width)
         cuts = find_cuts(at, found, slack)
         for k, (first, width) in todo.items():
             del places[k]
             places[2 * k], places[2 * k + 1] = (first, width // 2), (first + width // 2, width - width // 2)
-        for k in todo.keys() - cuts.keys():  # no rows
-            cuts[k] = (0, 0, 0)
-        rows = ", ".join(f"({k}L, {dim}, {high}L, {low}L)" for k, (dim, high, low) in cuts.items())
-        table = thin.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS t(node, _dim, _high, _low)")
-        right = (order(F.col("_dim")) > F.col("_high")) | ((order(F.col("_dim")) == F.col("_high")) & (F.col("low") >= F.col("_low")))
-        at = at.join(F.broadcast(table), "node", "left").withColumn("node", F.when(F.col("_dim").isNull(), F.col("node")).otherwise(2 * F.col("node") + right.cast("int"))).select(*thin.columns, "node")
-    rows = ", ".join(f"({k}L, {first})" for k, (first, _) in places.items())
-    return at.join(F.broadcast(thin.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS t(node, shard)")), "node")
+        if cuts:  # else there are no rows
+            dim, high, low = (by_node({k: cut[i] for k, cut in cuts.items()}) for i in range(3))
+            right = (order(dim) > high) | ((order(dim) == high) & (F.col("low") >= low))
+            at = materialize(at.withColumn("node", F.when(dim < 0, F.col("node")).otherwise(2 * F.col("node") + right.cast("int"))), "shards")
+    return at.withColumn("shard", by_node({k: first for k, (first, _) in places.items()}, "int")).drop("node")
+
+
+def by_node(values: dict[int, int | float], kind: str = "long") -> Column:
+    """What ``values`` has for the row's node, else -1.  A joined table would be broadcast, and stay on the driver until its garbage is collected."""
+    numbers = ",".join(str(values.get(k, -1)) for k in range(max(values) + 1))
+    return F.coalesce(F.get(F.split(F.lit(numbers), ",").cast(f"array<{kind}>"), F.col("node").cast("int")), F.lit(-1).cast(kind))
 
 
 def order(dim: Column) -> Column:
@@ -100,25 +106,24 @@ def find_cuts(at: DataFrame, nodes: dict[int, tuple[int, float]], slack: float)
     for shift in range(HIGH + LOW - DIGIT, -1, -DIGIT):
         if not live:
             break
-        rows = ", ".join(f"({k}L, {dim}, CAST({prefix} AS DECIMAL(38)), {need:.3f}D)" for k, (dim, prefix, need) in live.items())
-        state = at.sparkSession.sql(f"SELECT node, _dim, CAST(_p DIV 4194304 AS BIGINT) AS _ph, CAST(_p % 4194304 AS BIGINT) AS _pl, _need FROM VALUES {rows} AS t(node, _dim, _p, _need)")
-        high, low = order(F.col("_dim")), F.col("low")
+        of = lambda f, kind="long": by_node({k: f(*v) for k, v in live.items()}, kind)
+        to, need = of(lambda dim, prefix, need: dim), of(lambda dim, prefix, need: need, "double")
+        high, low = order(to), F.col("low")
         done = shift + DIGIT  # bits below those that are fixed
-        fixed = F.shiftright(high, max(0, done - LOW)) == F.shiftright(F.col("_ph"), max(0, done - LOW))
+        fixed = F.shiftright(high, max(0, done - LOW)) == of(lambda dim, prefix, need: prefix >> max(done, LOW))
         if done < LOW:
-            fixed = fixed & (F.shiftright(low, done) == F.shiftright(F.col("_pl"), done))
+            fixed = fixed & (F.shiftright(low, done) == of(lambda dim, prefix, need: (prefix & (2**LOW - 1)) >> done))
         digit = F.shiftright(high, shift - LOW) if shift >= LOW else F.shiftright(low, shift)
-        inside = at.join(F.broadcast(state), "node").filter(fixed)
-        bins = inside.groupBy("node", digit.bitwiseAND(F.lit(2**DIGIT - 1)).alias("bin"), "_need").agg(F.sum("size").alias("bytes"))
+        bins = at.filter((to >= 0) & fixed).groupBy("node", digit.bitwiseAND(F.lit(2**DIGIT - 1)).alias("bin")).agg(F.sum("size").alias("bytes"))
         upto = F.sum("bytes").over(W.partitionBy("node").orderBy("bin"))
-        ends = bins.withColumn("upto", upto).filter("upto >= _need").groupBy("node").agg(F.min(F.struct("bin", "upto", "bytes")).alias("x"))
-        for r in ends.collect():
-            (dim, prefix, need), x = live[r["node"]], r["x"]
+        ends = bins.withColumn("upto", upto).filter((F.col("upto") >= need) & (F.col("upto") - F.col("bytes") < need))
+        for x in ends.collect():
+            dim, prefix, need = live[x["node"]]
             inner = need - (x["upto"] - x["bytes"])  # of the bin's bytes, those that go left
             if shift == 0 or min(inner, x["bytes"] - inner) <= slack:
                 end = prefix + ((x["bin"] + (inner > x["bytes"] - inner)) << shift)
-                found[r["node"]] = (dim, end >> LOW, end & (2**LOW - 1))
-                del live[r["node"]]
+                found[x["node"]] = (dim, end >> LOW, end & (2**LOW - 1))
+                del live[x["node"]]
             else:
-                live[r["node"]] = (dim, prefix + (x["bin"] << shift), inner)
+                live[x["node"]] = (dim, prefix + (x["bin"] << shift), inner)
     return found

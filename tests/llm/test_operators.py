@@ -172,6 +172,25 @@ def test_sharding_evens_bytes_and_keeps_copies(spark):
     assert sum(len(p) > 1 for p in places.values()) <= 12  # other copies stay together
 
 
+def test_sharding_plans_stay_small(spark):
+    """More levels make more jobs, but neither longer plans nor broadcasts, all of which the driver would hold."""
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def plans(shards):
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        before = {x.executionId() for x in map(store.executionsList().apply, range(store.executionsList().size()))}
+        sharding.sharding(df, shards)  # all jobs of the tree; the result's own is left out
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = store.executionsList()
+        return [x.physicalPlanDescription() for x in map(found.apply, range(found.size())) if x.executionId() not in before]
+
+    df = spark.createDataFrame([(i, f"copy {i // 7} " * (i % 20)) for i in range(600)], "doc_id long, text string")
+    few, many = plans(2), plans(16)
+    assert len(many) > len(few) > 3
+    assert not any("Broadcast" in p for p in many)
+    assert max(map(len, many)) < 1.5 * max(map(len, few))
+
+
 # SimHash
 
 
