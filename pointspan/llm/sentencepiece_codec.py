@@ -27,11 +27,13 @@ looked at.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import suppress
 from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import accumulate, chain
@@ -189,7 +191,7 @@ class Codec:
         for _, ids in self.batches(texts):
             yield from ids
 
-    def batches(self, texts: list[str | None]) -> Iterator[tuple[int, list[list[int]]]]:
+    def batches(self, texts: Iterable[str | None]) -> Iterator[tuple[int, list[list[int]]]]:
         """Where each batch of about ``BATCH_CHARS`` characters starts, and the ids of its texts."""
         waiting, chars, start = [], 0, 0
         for at, text in enumerate(texts):
@@ -253,6 +255,13 @@ class Codec:
                 raise ValueError(f"no parity with the model's own library: {text[:80]!r}")
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can: a worker keeps it else while other stages run."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 @lru_cache(maxsize=2)
 def codec_of(data: bytes) -> Codec:
     """The worker's codec, kept from task to task."""
@@ -274,17 +283,17 @@ def sentencepiece(docs: DataFrame, model: str = MODEL, keep: tuple[str, ...] = (
         codec = codec_of(data)
         try:
             for batch in batches:
-                texts = batch.column(1).to_pylist()
-                for start, found in codec.batches(texts):
-                    own = texts[start : start + len(found)]
+                for start, found in codec.batches(t.as_py() for t in batch.column(1)):
+                    part = batch.slice(start, len(found))
+                    own = part.column(1).to_pylist()
                     same = [codec.decode(ids) == (text or "") for text, ids in zip(own, found, strict=True)]
                     lengths = [len(ids) for ids in found]
                     values = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=sum(lengths))
-                    part = batch.slice(start, len(found))
                     ids = pa.ListArray.from_arrays(pa.array([0, *accumulate(lengths)], pa.int32()), pa.array(values))
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths, pa.int64()), ids, pa.array(same, pa.bool_()), *part.columns[2:]], names)
         finally:
             codec.forget()  # the worker lives on
+            give_back()
 
     rest = docs.select(*keep).schema.fields
     names = ["doc_id", "n_tokens", "ids", "round_trip", *keep]

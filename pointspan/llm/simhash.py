@@ -229,12 +229,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     that are equal throughout one stays.  Column names of ``docs`` are free.
     """
     plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
-    numbered = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*docs.columns).alias("whole"),
-        F.monotonically_increasing_id().alias("row"), F.xxhash64(*plain).alias("rank"),
-    )
-    stored = materialize(fingerprints(numbered, ("whole", "row", "rank")), "prints")
+    numbered = docs.select(F.struct(*docs.columns).alias("whole"), F.monotonically_increasing_id().alias("row"), F.xxhash64(*plain).alias("rank"))
+    stored = materialize(numbered, "rows")
+    # Python gets the text and numbers of a row, and gives back numbers only.
+    prints = materialize(fingerprints(stored.select("whole.doc_id", "whole.text", "row", "rank"), ("row", "rank")), "prints")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rank", "row")
-    least = stored.groupBy("fp").agg(F.min(first).alias("first")).join(grouped(stored), "fp")
+    least = prints.groupBy("fp").agg(F.min(first).alias("first")).join(grouped(prints), "fp")
     kept = least.groupBy("root").agg(F.min("first")["row"].alias("row")).select("row")
-    return stored.join(kept, "row", "left_semi").select("whole.*")
+    # Whole rows stream past the numbers of those that stay, and aren't sorted.
+    return stored.join(kept.hint("shuffle_hash"), "row", "left_semi").select("whole.*")

@@ -229,11 +229,11 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that aren't predicted to be toxic; each text goes through Python once and isn't shuffled."""
-    score, at = scorer(docs, labels), docs.columns.index("text")
+    """The rows of ``docs`` that aren't predicted to be toxic; only texts go to Python, and nothing is shuffled."""
+    score = scorer(docs, labels)
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(score(batch.column(at)) < 0.5))
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        return pa.array(score(texts) < 0.5)
 
-    return docs.mapInArrow(each, docs.schema)
+    return docs.filter(clean(F.col("text").cast("string")))

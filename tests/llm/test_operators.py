@@ -753,6 +753,20 @@ def test_stages_lose_no_row(spark, odd_docs, labels, none):
         assert stage.count() == 0
 
 
+def test_whole_rows_stay_out_of_python(spark, odd_docs, labels, monkeypatch):
+    """What the dropping stages get back from Python is numbers and mined terms, and no wide row is sorted."""
+    frame, back = type(odd_docs), []
+    through = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda *a, **b: back.append(out := through(*a, **b)) or out)
+    one = simhash.keep_one(odd_docs)
+    clean = toxicity.keep_clean(odd_docs, labels)
+    assert back and not [kind for out in back for _, kind in out.dtypes if "string" in kind]
+    for stage in (one, clean):
+        plan = stage._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" not in plan and "SortMergeJoin" not in plan
+        assert stage.columns == odd_docs.columns and not Counter(stage.collect()) - Counter(odd_docs.collect())
+
+
 def test_null_ids_are_held_out(spark, odd_docs, labels):
     assert all(r.held_out for r in toxicity.toxicity(odd_docs, labels).collect() if r.doc_id is None)
 
