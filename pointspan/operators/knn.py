@@ -1,28 +1,35 @@
 """Nearest neighbours, always exact; ties go to the smaller id.
 
-One query is a top-k over a scan.  Many queries are joined in rounds over a
-grid: in a round, a query looks at the 27 cells around it and is done if its
-k-th neighbour is no farther than a cell's width, as nothing nearer can be
-outside.  The others go on with cells twice as wide, and in the last round a
-cell is as wide as everything.
+One query is a top-k over a scan.  Many queries go in two steps over blocks
+of points (``cuts``): a query looks at its own block, and then at the other
+blocks that come as near to it as its k-th neighbour there, mostly one or none.
+Blocks have about as many points each, wherever they are crowded; the points
+of each value of ``by`` have blocks of their own.  Points are shuffled once a
+step, and of the pairs only each query's k nearest in a block leave it.  Ids
+are whole numbers; a null id comes last among equally near ones.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterable
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from pointspan.functions.geometry import AXES, Box, distance2, finite
-from pointspan.operators.joins import CELL, around, sided_grid
+from pointspan.operators.cuts import BLOCK, BLOCKS, SAMPLE, Block, Cuts, columns, kth, placed, sampled
 from pointspan.plans.index import Index, node_box
 from pointspan.shared import materialize
 from pointspan.sources.points import ID
 
 FAR = float("inf")
+#: Stands for a null id, which comes after all others.
+LAST = (1 << 63) - 1
 
 
 def metric(dx: Column, dy: Column, dz: Column, p: float) -> Column:
@@ -53,49 +60,87 @@ def nearest(points: DataFrame, center, k: int = 1, upper: float | None = None, p
 def nearest_batch(queries: DataFrame, points: DataFrame, k: int, upper: float | None = None, by: tuple[str, ...] = (), p: float = 2) -> DataFrame:
     """``qid, rank, id, dist`` of each query's (``qid, x, y, z``) k nearest points; ``by``: per value of these columns of the points.
 
-    ``p`` is 1, 2 or infinity: in each of these measures, what lies beyond the
-    27 cells is farther than a cell's width.
+    ``p`` is 1, 2 or infinity: in each of these measures, two points are no nearer than on any one axis.
     """
     if k < 1:
         raise ValueError("k must be positive")
-    points = points.filter(finite())
-    stats = points.agg(F.count("*").alias("n"), *[f(a).alias(f"{f.__name__}_{a}") for a in AXES for f in (F.min, F.max)])
-    reach = queries.filter(finite()).agg(*[f(a).alias(f"q{f.__name__}_{a}") for a in AXES for f in (F.min, F.max)])
-    s, q = stats.first(), reach.first()
-    groups = points.select(*by).distinct().count() if by else 1
-    if not s["n"] or q["qmin_x"] is None:
+    points, queries = points.filter(finite()), queries.filter(finite())
+    spark, kept = points.sparkSession, points.schema
+    rows = points.groupBy(*by).agg(F.count("*").alias("_n")).collect()
+    n = sum(r["_n"] for r in rows)
+    if not n or queries.isEmpty():
         return empty(queries, by, points)
-    widths = [max(s[f"max_{a}"] - s[f"min_{a}"], 0.0) for a in AXES]
-    used = [w for w in widths if w > 0] or [1.0]
-    span = math.dist([max(s[f"max_{a}"], q[f"qmax_{a}"]) for a in AXES], [min(s[f"min_{a}"], q[f"qmin_{a}"]) for a in AXES]) * 1.001 + 1e-9
-    # A cell of the first round has some k points if they are spread evenly.
-    size = max(math.prod(used) ** (1 / len(used)) * (2.0 * k * groups / s["n"]) ** (1 / len(used)), span * 2.0**-30)
-    waiting = queries.filter(finite()).select(F.col("qid").alias(ID), *AXES)
-    dist = metric(*[F.col(f"{a}_a") - F.col(f"{a}_b") for a in AXES], p)
-    rank = F.row_number().over(W.partitionBy("id_a", *[f"{c}_b" for c in by]).orderBy("dist", "id_b"))
-    parts = []
-    while True:
-        size = min(size, span)
-        last = size >= span or (upper is not None and size >= upper)
-        near = around(sided_grid(waiting, size * (1 + 1e-9), "a", ())).join(sided_grid(points, size * (1 + 1e-9), "b", by), list(CELL))
-        top = near.withColumn("dist", dist).withColumn("rank", rank).filter(F.col("rank") <= k)
-        top = top.select("id_a", *[f"{c}_b" for c in by], "rank", "id_b", "dist")
-        if last:
-            parts.append(top)
-            break
-        top = materialize(top, "near")
-        whole = top.filter((F.col("rank") == k) & (F.col("dist") <= size)).groupBy("id_a").agg(F.count("*").alias("g")).filter(F.col("g") == groups).select("id_a")
-        parts.append(top.join(whole, "id_a", "left_semi"))
-        waiting = materialize(waiting.join(whole.withColumnRenamed("id_a", ID), ID, "left_anti"), "waiting")
-        if waiting.isEmpty():
-            break
-        size *= 2
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    groups = spark.createDataFrame([(*r[: len(by)], g) for g, r in enumerate(rows)], T.StructType([*[T.StructField(c, kept[c].dataType) for c in by], T.StructField("_g", T.IntegerType(), False)]))
+    named = points.select(F.coalesce(F.col(ID).cast("long"), F.lit(LAST)).alias(ID), *AXES, *by)
+    if by:
+        same = [F.col(f"_p.{c}").eqNullSafe(F.col(f"_q.{c}")) for c in by]
+        named = named.alias("_p").join(F.broadcast(groups.alias("_q")), reduce(Column.__and__, same))
+    else:
+        named = named.withColumn("_g", F.lit(0))
+    named = named.select("_g", ID, *AXES)
+    cuts, crowded = trees(named, n, k, len(rows))
+    if crowded:
+        # So many equal points that no cut parts them: of those, only the k smallest ids can be among the nearest.
+        named = named.withColumn("_r", F.row_number().over(W.partitionBy("_g", *AXES).orderBy(ID))).filter(F.col("_r") <= k).drop("_r")
+    blocks = named.mapInArrow(lambda batches: placed(cuts, batches, (ID, *AXES)), f"_block int, {ID} long, x double, y double, z double")
+    qtype = queries.schema["qid"].dataType.simpleString()
+    asked = queries.select("qid", *[F.col(a).cast("double").alias(a) for a in AXES]).crossJoin(F.broadcast(groups.select("_g"))).withColumn("_far", F.lit(FAR if upper is None else float(upper)))
+    keep = ("_g", "qid", *AXES, "_far")
+    asked = asked.mapInArrow(lambda batches: placed(cuts, batches, keep), f"_block int, _g int, qid {qtype}, x double, y double, z double, _far double")
+    schema = f"_g int, qid {qtype}, x double, y double, z double, _far double, ids array<bigint>, dists array<double>, others array<int>"
+    look = lambda q, home: q.groupBy("_block").cogroup(blocks.groupBy("_block")).applyInArrow(lambda a, b: looked(a, b, cuts if home else None, k, p), schema)
+    first = materialize(look(asked, True), "near")
+    open_ = first.filter(F.size("others") > 0)
+    more = look(open_.select(F.explode("others").alias("_block"), *keep), False)
+    row = lambda df, *c: df.select("_g", "qid", *c).select("_g", "qid", (F.col("pos") + 1).alias("rank"), F.col("col.ids").alias(ID), F.col("col.dists").alias("dist"))
+    spread = F.posexplode(F.arrays_zip("ids", "dists"))
+    whole = row(first.filter(F.size("others") == 0), spread)
+    rank = F.row_number().over(W.partitionBy("_g", "qid").orderBy("dist", ID))
+    merged = row(open_, spread).unionByName(row(more, spread)).withColumn("rank", rank).filter(F.col("rank") <= k)
+    out = whole.unionByName(merged)
     if upper is not None and upper < FAR:
         out = out.filter(F.col("dist") < upper)
-    return out.select(F.col("id_a").alias("qid"), *[F.col(f"{c}_b").alias(c) for c in by], "rank", F.col("id_b").alias(ID), "dist")
+    if by:
+        out = out.join(F.broadcast(groups), "_g")
+    return out.select("qid", *by, "rank", F.nullif(F.col(ID), F.lit(LAST)).cast(kept[ID].dataType).alias(ID), "dist")
+
+
+def trees(points: DataFrame, n: int, k: int, groups: int) -> tuple[dict[int, tuple[Cuts, int]], bool]:
+    """For each group ``_g`` a tree of cuts and the number of its first block; and whether some block is crowded by equal points."""
+    rate = min(1.0, SAMPLE / n)
+    most = max(BLOCK, n / BLOCKS, 8 * k) * rate
+    found = sampled(points, n).toArrow()
+    g, at = np.asarray(found["_g"]), columns(found)
+    order = np.argsort(g, kind="stable")
+    start = np.searchsorted(g[order], np.arange(groups + 1))
+    out, blocks, crowded = {}, 0, False
+    for i in range(groups):
+        tree = Cuts(at[order[start[i] : start[i + 1]]], int(most), max(8, math.ceil(2 * k * rate)))
+        out[i] = (tree, blocks)
+        blocks += tree.leaves
+        crowded |= tree.crowded > 4 * most
+    return out, crowded
+
+
+def looked(asked, block, cuts: dict[int, tuple[Cuts, int]] | None, k: int, p: float):
+    """The queries of one block (Arrow tables) with their nearest in it, and with ``cuts`` the other blocks that may hold nearer ones."""
+    import pyarrow as pa
+
+    q, far = columns(asked), np.asarray(asked["_far"], np.float64)
+    if len(q):
+        at, ids, dist = Block(columns(block), np.asarray(block[ID], np.int64), k, p).nearest(q, far)
+        far = np.minimum(far, kth((at, ids, dist), len(q), k))
+    else:
+        at, ids, dist = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    near, other = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if cuts is not None and len(q):
+        tree, before = cuts[asked["_g"][0].as_py()]
+        near, other = tree.reached(q, far)
+        away = other != tree.place(q)[near]
+        near, other = near[away], other[away] + before
+    lists = lambda at, v, kind: pa.ListArray.from_arrays(pa.array(np.searchsorted(at, np.arange(len(q) + 1)), pa.int32()), pa.array(v, kind), type=pa.list_(pa.field("element", kind)))
+    kept = {c: asked[c] for c in ("_g", "qid", *AXES)}
+    return pa.table(kept | {"_far": pa.array(far), "ids": lists(at, ids, pa.int64()), "dists": lists(at, dist, pa.float64()), "others": lists(near, other, pa.int32())})
 
 
 def empty(queries: DataFrame, by: tuple[str, ...], points: DataFrame) -> DataFrame:

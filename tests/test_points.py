@@ -226,6 +226,53 @@ def test_knn_measures(spark, frame, p):
         assert [(i, v) for _, i, v in got] == [(i, pytest.approx(v)) for v, i in want]
 
 
+def moved(spark, run):
+    """What a job gives, and the bytes that its tasks shuffle and write."""
+    status = spark.sparkContext._jsc.sc().statusStore()
+    total = lambda: sum(s.shuffleWriteBytes() + s.outputBytes() for s in (lambda found: [found.apply(i) for i in range(found.size())])(status.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)))
+    before = total()
+    return run(), total() - before
+
+
+def test_knn_blocks_on_odd_points(spark, monkeypatch):
+    """Small blocks, a point repeated more often than a block is long, a rare type, far and equal queries, ties, null types: as by brute force."""
+    for name, value in (("BLOCK", 64), ("BLOCKS", 1 << 20)):
+        monkeypatch.setattr(knn, name, value)
+    r = np.random.default_rng(5)
+    at = np.vstack([r.exponential(5.0, (900, 3)), np.tile([[3.0, 3.0, 3.0]], (700, 1)), r.integers(0, 4, (400, 3)).astype(float), [[1e6, 0.0, 0.0]]])
+    kinds = [None if i % 11 == 0 else "rare" if i in (7, 1999) else f"t{i % 2}" for i in range(len(at))]
+    points = spark.createDataFrame([(i, kinds[i], *map(float, v)) for i, v in enumerate(at)], "id long, kind string, x double, y double, z double")
+    asked = [(int(i), *map(float, at[i])) for i in range(0, len(at), 37)] + [(9000, 3.0, 3.0, 3.0), (9001, -1e7, 5.0, 1e3), (9002, 3.5, 3.0, 3.0)]
+    queries_ = spark.createDataFrame(asked, "qid long, x double, y double, z double")
+    for k, by, p, upper in ((4, ("kind",), 2, None), (30, (), 2, None), (4, (), 1, 2.0), (900, ("kind",), math.inf, None)):
+        found = {}
+        for row in knn.nearest_batch(queries_, points, k, upper, by, p).collect():
+            found.setdefault((row.qid, row["kind"] if by else 0), []).append((row["rank"], row.id, row.dist))
+        want = {}
+        for qid, *q in asked:
+            d = at - np.array(q)
+            dist = np.sqrt(d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]) if p == 2 else np.abs(d[:, 0]) + np.abs(d[:, 1]) + np.abs(d[:, 2]) if p == 1 else np.abs(d).max(axis=1)
+            for kind in set(kinds) if by else [0]:
+                own = sorted((v, i) for i, v in enumerate(dist) if (not by or kinds[i] == kind) and (upper is None or v < upper))[:k]
+                if own:
+                    want[qid, kind] = [(rank, i, v) for rank, (v, i) in enumerate(own, 1)]
+        assert {key: sorted(v) for key, v in found.items()} == want
+
+
+def test_knn_moves_points_not_pairs(spark):
+    """Queries meet their neighbours within a task: what is shuffled and written grows with the points, not with the pairs looked at."""
+    old = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {name: (spark.conf.get(name, None), spark.conf.set(name, value))[0] for name, value in old.items()}
+    try:
+        points = spark.range(30_000).select("id", (F.col("id") % 3).cast("string").alias("kind"), *[F.rand(i).alias(a) for i, a in enumerate("xyz")])
+        few = points.filter("id % 10 = 0").select(F.col("id").alias("qid"), "x", "y", "z")
+        n, size = moved(spark, lambda: knn.nearest_batch(few, points, 3, by=("kind",)).count())
+    finally:
+        for name, value in old.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
+    assert n == 27_000 and size < 6e6
+
+
 def grid(nx, y0, ny):
     return np.array([(x, y) for x in range(nx) for y in range(y0, y0 + ny)], dtype=float)
 
