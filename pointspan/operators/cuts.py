@@ -198,3 +198,61 @@ def placed(cuts: dict[int, tuple[Cuts, int]], batches: Iterator, keep: tuple[str
             tree, first = cuts[int(own)]
             block[g == own] = first + tree.place(points[g == own])
         yield pa.RecordBatch.from_arrays([pa.array(block), *[batch[c] for c in keep]], names=["_block", *keep])
+
+
+# Counting pairs
+
+#: Points of the small leaves of counted blocks.
+COUNTED = 16
+
+
+def settled(low_a: np.ndarray, high_a: np.ndarray, low_b: np.ndarray, high_b: np.ndarray, squares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each two boxes the bins of the nearest and the farthest two points that they can hold.
+
+    Bin i holds squared distances up to ``squares[i]``, the last one all beyond.  Differences, squares and sums
+    are rounded as those of points are, and rounding keeps order, so no point's bin lies outside of these two.
+    """
+    least, most = 0.0, 0.0
+    for a in range(3):
+        ahead, behind = low_a[:, None, a] - high_b[None, :, a], low_b[None, :, a] - high_a[:, None, a]
+        near, far = np.maximum(np.maximum(ahead, behind), 0.0), np.maximum(-ahead, -behind)
+        least, most = least + near * near, most + far * far
+    return np.searchsorted(squares, least), np.searchsorted(squares, most)
+
+
+def halved(points: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Points and weights in leaves of at most ``COUNTED``, halved along the widest axis of each level; gaps are NaN with weight 0."""
+    depth = max(0, int(np.ceil(np.log2(max(len(points), 1) / COUNTED))))
+    gaps = -len(points) % (1 << depth)
+    points, weights = np.vstack([points, np.full((gaps, 3), np.nan)]), np.concatenate([weights, np.zeros(gaps)])
+    order = np.arange(len(points))
+    for level in range(depth):
+        parts = order.reshape(1 << level, -1)
+        own = points[parts]
+        axis = int(np.argmax(np.nanmean(np.fmax.reduce(own, axis=1) - np.fmin.reduce(own, axis=1), axis=0)))
+        order = np.take_along_axis(parts, np.argsort(own[:, :, axis], axis=1), axis=1).ravel()
+    return points[order].reshape(1 << depth, -1, 3), weights[order].reshape(1 << depth, -1)
+
+
+def pair_sums(a: np.ndarray, weight_a: np.ndarray, b: np.ndarray, weight_b: np.ndarray, squares: np.ndarray) -> np.ndarray:
+    """Sums of weights' products by bin, over all pairs of points of two blocks; only leaves that a bin's border parts are opened."""
+    (a, wa), (b, wb) = halved(a, weight_a), halved(b, weight_b)
+    low_a, high_a, low_b, high_b = (f.reduce(v, axis=1) for v in (a, b) for f in (np.fmin, np.fmax))
+    sum_a, sum_b = wa.sum(axis=1), wb.sum(axis=1)
+    out = np.zeros(len(squares))
+    step, room = max(1, AT_ONCE // len(b)), max(1, AT_ONCE // 4 // (a.shape[1] * b.shape[1]))
+    for i in range(0, len(a), step):
+        first, last = settled(low_a[i : i + step], high_a[i : i + step], low_b, high_b, squares)
+        product = sum_a[i : i + step, None] * sum_b[None, :]
+        plain = (first == last) & np.isfinite(product)
+        for bin_ in range(len(squares)):
+            out[bin_] += product[plain & (first == bin_)].sum()
+        row, col = np.nonzero(~plain & (first < len(squares)))
+        for j in range(0, len(row), room):
+            p, q = row[j : j + room] + i, col[j : j + room]
+            dx, dy, dz = (a[p, :, None, c] - b[q, None, :, c] for c in range(3))
+            d2 = dx * dx + dy * dy + dz * dz
+            near = d2 <= squares[-1]
+            bins, own = np.searchsorted(squares, d2[near]), (wa[p][:, :, None] * wb[q][:, None, :])[near]
+            out += np.bincount(bins, own, len(squares))
+    return out

@@ -4,16 +4,26 @@ Both sides get the cell of a grid as wide as the radius; one side is copied to
 the 27 cells around its own, and an equi-join on cells followed by the exact
 test gives every pair once.  The join is a sort-merge or hash join that AQE
 can split where a cell is hot; there is no nested loop.
+
+Counts of pairs need no pairs: space is cut into blocks (``cuts``), two blocks
+whose boxes lie in one bin as a whole count as the product of their weights,
+and only the others' points meet, in units of work of about equal size, where
+the same is done with leaves of a few points.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointspan.functions.geometry import AXES, distance2, finite
+from pointspan.operators.cuts import SAMPLE, Cuts, columns, pair_sums, placed, sampled, settled
+from pointspan.shared import materialize
 from pointspan.sources.points import ID
 
 CELL = ("_cx", "_cy", "_cz")
@@ -79,14 +89,76 @@ def merged_points(df: DataFrame, weight: str | None) -> DataFrame:
 def count_neighbors(a: DataFrame, b: DataFrame, radii: Iterable[float], weight_a: str | None = None, weight_b: str | None = None, cumulative: bool = True) -> DataFrame:
     """``r, n``: pairs (or sums of weights' products) at most r apart, or in the bins between the radii."""
     radii = sorted(float(r) for r in radii)
-    near = pairs_within(merged_points(a, weight_a), merged_points(b, weight_b), radii[-1], ("w",), ("w",))
-    product = F.col("w_a") * F.col("w_b")
-    bins = F.lit(len(radii) - 1)
-    for i in reversed(range(len(radii) - 1)):
-        bins = F.when(F.col("d2") <= F.lit(radii[i] * radii[i]), F.lit(i)).otherwise(bins)
-    sums = near.groupBy(bins.alias("bin")).agg(F.sum(product).alias("own"))
-    whole = sums.agg(*[F.coalesce(F.sum(F.when(F.col("bin") <= i if cumulative else F.col("bin") == i, F.col("own"))), F.lit(0.0)).alias(f"n{i}") for i in range(len(radii))])
-    return whole.select(F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.col(f"n{i}").alias("n")) for i, r in enumerate(radii)])).alias("x")).select("x.r", "x.n")
+    if radii[-1] <= 0:
+        raise ValueError("the radius must be positive")
+    spark, squares = a.sparkSession, np.array([r * r for r in radii])
+    merged = lambda df, weight: materialize(merged_points(df.filter(finite()), weight).select(ID, *[F.col(c).cast("double").alias(c) for c in AXES], "w").filter("w IS NOT NULL"), "merged")
+    left = merged(a, weight_a)
+    right = left if a.sameSemantics(b) and weight_a == weight_b else merged(b, weight_b)
+    tree = counting_tree(left if right is left else left.unionByName(right))
+    sides = [df.withColumn("_g", F.lit(0)).mapInArrow(lambda batches: placed({0: (tree, 0)}, batches, (*AXES, "w")), "_block int, x double, y double, z double, w double") for df in (left, right)]
+    own, units_a, units_b = counting_units(*[block_table(df) for df in sides], squares)
+    names = [f"n{i}" for i in range(len(radii))]
+    if len(units_a):
+        work = [side.join(F.broadcast(spark.createDataFrame(pd.DataFrame({"_block": u[:, 0], "_u": u[:, 1]}), "_block int, _u int")), "_block").select("_u", *AXES, "w").repartition(min(512, int(u[-1, 1]) + 1), "_u") for side, u in zip(sides, (units_a, units_b), strict=True)]
+        sums = work[0].groupBy("_u").cogroup(work[1].groupBy("_u")).applyInArrow(lambda x, y: counted(x, y, squares), ", ".join(f"{n} double" for n in names))
+        whole = sums.agg(*[F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in names])
+    else:
+        whole = spark.range(1).select(*[F.lit(0.0).alias(n) for n in names])
+    bins = [F.col(n) + F.lit(float(v)) for n, v in zip(names, own, strict=True)]
+    found = [reduce(Column.__add__, bins[: i + 1]) if cumulative else bins[i] for i in range(len(radii))]
+    return whole.select(F.explode(F.array(*[F.struct(F.lit(r).alias("r"), n.alias("n")) for r, n in zip(radii, found, strict=True)])).alias("x")).select("x.r", "x.n")
+
+
+#: Points of a counted block at least, blocks at about, and the pairs of one unit of work at least.
+COUNT_BLOCK, COUNT_BLOCKS, UNIT, UNITS = 2048, 512, 1 << 24, 4096
+
+
+def counting_tree(points: DataFrame) -> Cuts:
+    n = points.count()
+    found = columns(sampled(points, n).toArrow())
+    return Cuts(found, int(max(COUNT_BLOCK, n / COUNT_BLOCKS) * min(1.0, SAMPLE / max(n, 1))))
+
+
+def block_table(points: DataFrame) -> np.ndarray:
+    """One row a block: its number, points, sum of weights, and the box of its points; some 1,000 rows at most."""
+    found = points.groupBy("_block").agg(F.count("*"), F.sum("w"), *[f(a) for f in (F.min, F.max) for a in AXES]).collect()
+    return np.array([tuple(r) for r in found], np.float64).reshape(-1, 9)
+
+
+def counting_units(a: np.ndarray, b: np.ndarray, squares: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums by bin of the blocks whose pairs all share a bin; and of the others which blocks (first column) each unit of work takes.
+
+    A unit is a block of ``a`` with some blocks of ``b``, of about as many pairs each.
+    """
+    own, out_a, out_b, unit = np.zeros(len(squares)), [], [], 0
+    if not len(a) or not len(b):
+        return own, np.zeros((0, 2), int), np.zeros((0, 2), int)
+    first, last = settled(a[:, 3:6], a[:, 6:9], b[:, 3:6], b[:, 6:9], squares)
+    product = a[:, 2][:, None] * b[:, 2][None, :]
+    plain = (first == last) & np.isfinite(product)
+    for i in range(len(squares)):
+        own[i] = product[plain & (first == i)].sum()
+    open_ = ~plain & (first < len(squares))
+    pairs_ = a[:, 1][:, None] * b[:, 1][None, :] * open_
+    unit_pairs = max(UNIT, pairs_.sum() / UNITS)
+    for i in np.flatnonzero(open_.any(axis=1)):
+        blocks = np.flatnonzero(open_[i])
+        done, rows = np.cumsum(pairs_[i, blocks]), np.cumsum(b[blocks, 1])
+        part = (done - pairs_[i, blocks]) // unit_pairs + (rows - b[blocks, 1]) // (1 << 20)
+        part = unit + np.unique(part, return_inverse=True)[1]
+        out_a += [(a[i, 0], u) for u in range(unit, part[-1] + 1)]
+        out_b += zip(b[blocks, 0], part, strict=True)
+        unit = part[-1] + 1
+    return own, np.array(out_a, int).reshape(-1, 2), np.array(out_b, int).reshape(-1, 2)
+
+
+def counted(a, b, squares: np.ndarray):
+    """The sums by bin of one unit (Arrow tables), as one row."""
+    import pyarrow as pa
+
+    found = pair_sums(columns(a), np.asarray(a["w"]), columns(b), np.asarray(b["w"]), squares) if len(a) and len(b) else np.zeros(len(squares))
+    return pa.table({f"n{i}": [float(v)] for i, v in enumerate(found)})
 
 
 def distance_matrix(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:

@@ -302,6 +302,40 @@ def test_joins(frame):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def brute_counts(a, wa, b, wb, radii, cumulative):
+    dx, dy, dz = (a[:, None, c] - b[None, :, c] for c in range(3))
+    d2, product = dx * dx + dy * dy + dz * dz, wa[:, None] * wb[None, :]
+    sums = [product[d2 <= r * r].sum() for r in radii]
+    return sums if cumulative else np.diff([0.0, *sums]).tolist()
+
+
+def test_counts_by_blocks(spark, monkeypatch):
+    """Blocks and units of a few points, distances on the radii, equal and odd points, weights with nulls: as by brute force."""
+    monkeypatch.setattr(joins, "COUNT_BLOCK", 40)
+    monkeypatch.setattr(joins, "UNIT", 4000)
+    r = np.random.default_rng(8)
+    a = np.vstack([np.round(r.normal(0, 2, (500, 3)), 1), r.integers(0, 6, (300, 3)), np.full((60, 3), 1.5)])
+    b = np.vstack([r.normal(0, 2, (300, 3)), r.integers(-2, 4, (300, 3)), [[1e9, 0, 0]]])
+    wa, wb = r.integers(-2, 5, len(a)).astype(float), r.integers(0, 3, len(b)).astype(float)
+    frames = [spark.createDataFrame([(i, *map(float, v), None if w == 0 else float(w)) for i, (v, w) in enumerate(zip(p, ws, strict=True))] + [(5000, None, 0.0, 0.0, 1.0), (5001, math.nan, 0.0, 0.0, 1.0)], "id long, x double, y double, z double, w double") for p, ws in ((a, wa), (b, wb))]
+    radii = (0.5, 1.0, 2.0, 3.0)
+    for cumulative in (True, False):
+        for weights, sums in ((("w", "w"), (wa, wb)), ((None, None), (np.ones(len(a)), np.ones(len(b))))):
+            found = joins.count_neighbors(*frames, radii, *weights, cumulative).orderBy("r").collect()
+            assert [(x.r, x.n) for x in found] == list(zip(radii, brute_counts(a, sums[0], b, sums[1], radii, cumulative), strict=True))
+    assert [x.n for x in joins.count_neighbors(frames[0], frames[1].filter("false"), radii).collect()] == [0.0] * 4
+
+
+def test_count_of_a_crowd(spark):
+    """60,000 points that are all within a radius are counted without meeting each other."""
+    points = spark.range(60_000).select("id", *[F.rand(i).alias(a) for i, a in enumerate("xyz")])
+    status = spark.sparkContext._jsc.sc().statusStore()
+    seconds = lambda: sum(s.executorRunTime() for s in (lambda found: [found.apply(i) for i in range(found.size())])(status.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None))) / 1e3
+    before = seconds()
+    assert [x.n for x in joins.count_neighbors(points, points, (1e-9, 10.0)).orderBy("r").collect()] == [60_000.0, 60_000.0**2]
+    assert seconds() - before < 60
+
+
 def test_saving(spark, frame, index, tmp_path):
     path = f"{tmp_path}/p"
     clean = PointFrame(frame.df.filter(g.finite()), frame.bounding_box())
