@@ -78,7 +78,7 @@ def nearest_batch(queries: DataFrame, points: DataFrame, k: int, upper: float |
     else:
         named = named.withColumn("_g", F.lit(0))
     named = named.select("_g", ID, *AXES)
-    cuts, crowded = trees(named, n, k, len(rows))
+    cuts, crowded, parts = trees(named, n, k, len(rows))
     if crowded:
         # So many equal points that no cut parts them: of those, only the k smallest ids can be among the nearest.
         named = named.withColumn("_r", F.row_number().over(W.partitionBy("_g", *AXES).orderBy(ID))).filter(F.col("_r") <= k).drop("_r")
@@ -88,7 +88,9 @@ def nearest_batch(queries: DataFrame, points: DataFrame, k: int, upper: float |
     keep = ("_g", "qid", *AXES, "_far")
     asked = asked.mapInArrow(lambda batches: placed(cuts, batches, keep), f"_block int, _g int, qid {qtype}, x double, y double, z double, _far double")
     schema = f"_g int, qid {qtype}, x double, y double, z double, _far double, ids array<bigint>, dists array<double>, others array<int>"
-    look = lambda q, home: q.groupBy("_block").cogroup(blocks.groupBy("_block")).applyInArrow(lambda a, b: looked(a, b, cuts if home else None, k, p), schema)
+    # A few blocks a task: their work is not in proportion to their bytes, by which AQE would put them together.
+    dealt = lambda df: df.repartition(min(512, max(min(parts, 8), -(-parts // 4))), "_block").groupBy("_block")
+    look = lambda q, home: dealt(q).cogroup(dealt(blocks)).applyInArrow(lambda a, b: looked(a, b, cuts if home else None, k, p), schema)
     first = materialize(look(asked, True), "near")
     open_ = first.filter(F.size("others") > 0)
     more = look(open_.select(F.explode("others").alias("_block"), *keep), False)
@@ -105,8 +107,8 @@ def nearest_batch(queries: DataFrame, points: DataFrame, k: int, upper: float |
     return out.select("qid", *by, "rank", F.nullif(F.col(ID), F.lit(LAST)).cast(kept[ID].dataType).alias(ID), "dist")
 
 
-def trees(points: DataFrame, n: int, k: int, groups: int) -> tuple[dict[int, tuple[Cuts, int]], bool]:
-    """For each group ``_g`` a tree of cuts and the number of its first block; and whether some block is crowded by equal points."""
+def trees(points: DataFrame, n: int, k: int, groups: int) -> tuple[dict[int, tuple[Cuts, int]], bool, int]:
+    """For each group ``_g`` a tree of cuts and the number of its first block; whether some block is crowded by equal points; the number of blocks."""
     rate = min(1.0, SAMPLE / n)
     most = max(BLOCK, n / BLOCKS, 8 * k) * rate
     found = sampled(points, n).toArrow()
@@ -119,7 +121,7 @@ def trees(points: DataFrame, n: int, k: int, groups: int) -> tuple[dict[int, tup
         out[i] = (tree, blocks)
         blocks += tree.leaves
         crowded |= tree.crowded > 4 * most
-    return out, crowded
+    return out, crowded, blocks
 
 
 def looked(asked, block, cuts: dict[int, tuple[Cuts, int]] | None, k: int, p: float):
